@@ -12,6 +12,7 @@ from impactlens.operators import resolve as res
 from impactlens.operators import trees
 from impactlens.plans import bindings as b
 from impactlens.plans.registry import query
+from impactlens.session import materialise
 
 TARGET = "s1"
 
@@ -32,14 +33,14 @@ def _targets(spark, d):
   FROM level l JOIN call_edge e ON e.callee = l.node GROUP BY 1, 2)
 SELECT l.node, l.depth, e.sites, e.proved FROM level l LEFT JOIN entry e ON l.node = e.node AND l.depth = e.depth""")
 def blast_radius(spark, d):
-    edges = b.call_edge(spark, d)
+    edges = materialise(b.call_edge(spark, d))
     reached = rad.reach(rad.require_target(_targets(spark, d), TARGET), edges)
     return rad.entry_edges(reached, edges).select("node", "depth", "sites", "proved")
 
 
 @query(f"{REACH} SELECT path, count(*) AS nodes, min(depth) AS depth FROM level JOIN symbol ON fqn = node GROUP BY path")
 def radius_files(spark, d):
-    reached = rad.reach(_targets(spark, d), b.call_edge(spark, d))
+    reached = rad.reach(_targets(spark, d), materialise(b.call_edge(spark, d)))
     homes = b.symbol(spark, d).select("graph_id", F.col("fqn").alias("node"), "path")
     return reached.join(homes, ["graph_id", "node"]).groupBy("path").agg(
         F.count(F.lit(1)).alias("nodes"), F.min("depth").alias("depth")
@@ -49,7 +50,7 @@ def radius_files(spark, d):
 @query(f"""{REACH} SELECT count(DISTINCT path) AS files, CASE WHEN count(DISTINCT path) > 40 THEN 'RADIUS_TOO_LARGE' ELSE 'ok' END AS status
 FROM level JOIN symbol ON fqn = node""")
 def radius_cap(spark, d):
-    reached = rad.reach(_targets(spark, d), b.call_edge(spark, d))
+    reached = rad.reach(_targets(spark, d), materialise(b.call_edge(spark, d)))
     homes = b.symbol(spark, d).select("graph_id", F.col("fqn").alias("node"), "path")
     files = reached.join(homes, ["graph_id", "node"]).select("graph_id", "target", "path").distinct()
     return rad.within_cap(files, ["graph_id", "target"], cap=40).select("files", "status")

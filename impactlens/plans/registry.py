@@ -19,6 +19,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(tune(spark), sf_dir)
 
+        run.__name__, run.__module__ = fn.__name__, fn.__module__
+
         QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql
