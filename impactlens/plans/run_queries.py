@@ -596,11 +596,12 @@ signal AS (SELECT j.*, coalesce(verified, 0) AS verified, coalesce(discarded, 0)
   FROM job j JOIN gate g ON g.job_id = j.job_id LEFT JOIN counts c ON c.job_id = j.job_id LEFT JOIN risk r ON r.job_id = j.job_id)"""
 
 
-@query(f"""WITH {SIGNAL} SELECT job_id, state, verified AS verified_tasks, discarded AS discarded_tasks, infra AS infrastructure_discards, uncovered, generated AS characterisation_only,
+@query(f"""WITH {SIGNAL} SELECT job_id, state, verified AS verified_tasks, discarded AS discarded_tasks, infra AS infrastructure_discards, array_to_string(uncovered, ',') AS uncovered, array_to_string(generated, ',') AS characterisation_only,
   len(list_filter(findings, lambda f: f.severity = 'block')) > 0 AS blocked, weak AS has_strength, insecure AS has_security FROM signal""")
 def job_signals(spark, d):
     return _signals(spark, d).select(
-        "job_id", "state", "verified_tasks", "discarded_tasks", "infrastructure_discards", "uncovered", "characterisation_only",
+        "job_id", "state", "verified_tasks", "discarded_tasks", "infrastructure_discards",
+        F.array_join("uncovered", ",").alias("uncovered"), F.array_join("characterisation_only", ",").alias("characterisation_only"),
         F.contains("impact", F.lit('"block"')).alias("blocked"), (F.col("strength") != "not json").alias("has_strength"), (F.col("security") != "not json").alias("has_security"),
     )
 
