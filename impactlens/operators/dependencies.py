@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from impactlens.session import materialise
@@ -17,24 +18,26 @@ def order_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """
     waves: list[DataFrame] = []
     remaining = materialise(tasks.select("job_id", "seq", "target_file").distinct())
+    # A dependency that is no task at all never completes, so its dependants stay behind for good.
+    known = remaining.select("job_id", F.col("seq").alias("needs"))
+    stuck = materialise(deps.join(known, ["job_id", "needs"], "left_anti").select("job_id", "seq").distinct())
+    held = not stuck.isEmpty()
+    rivals = W.partitionBy("job_id", "target_file")
     while True:
         open_tasks = remaining.select("job_id", F.col("seq").alias("needs"))
-        # A dependency that is no task at all never completes, so its dependants stay behind as well.
-        known = tasks.select("job_id", F.col("seq").alias("needs")).distinct()
-        waiting = deps.join(remaining.select("job_id", "seq"), ["job_id", "seq"], "left_semi")
-        blocked = waiting.join(open_tasks, ["job_id", "needs"], "left_semi").unionByName(
-            waiting.join(known, ["job_id", "needs"], "left_anti")
-        ).select("job_id", "seq").distinct()
-        ready = remaining.join(blocked, ["job_id", "seq"], "left_anti")
-        wave = materialise(
-            ready.groupBy("job_id", "target_file").agg(F.min("seq").alias("seq"))
-            .select("job_id", "seq", F.lit(len(waves) + 1).alias("wave"))
-        )
+        blocked = deps.join(open_tasks, ["job_id", "needs"], "left_semi").select("job_id", "seq")
+        if held:
+            blocked = blocked.unionByName(stuck)
+        # One task per file: the lowest number among the ready ones of its job.
+        state = remaining.join(blocked.distinct().withColumn("_held", F.lit(True)), ["job_id", "seq"], "left")
+        first = F.min(F.when(F.col("_held").isNull(), F.col("seq"))).over(rivals)
+        state = materialise(state.withColumn("_now", F.col("_held").isNull() & (F.col("seq") == first)).drop("_held"))
+        wave = state.filter("_now").select("job_id", "seq", F.lit(len(waves) + 1).alias("wave"))
+        remaining = state.filter("NOT _now").select("job_id", "seq", "target_file")
         if wave.isEmpty():
-            stuck = remaining.select("job_id", "seq", F.lit(None).cast("int").alias("wave"))
-            return reduce(DataFrame.unionByName, [*waves, stuck])
+            left = remaining.select("job_id", "seq", F.lit(None).cast("int").alias("wave"))
+            return reduce(DataFrame.unionByName, [*waves, left])
         waves.append(wave)
-        remaining = materialise(remaining.join(wave, ["job_id", "seq"], "left_anti"))
 
 
 def closure(deps: DataFrame) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from impactlens.plans.ordering import MAX_GROUP_ROWS, numbered
 
 
-def line_runs(lines: DataFrame, keys: list[str], line: str = "line", max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def line_runs(lines: DataFrame, keys: list[str], line: str = "line", max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """(keys, first, last): maximal runs of consecutive numbers."""
     placed = numbered(lines.select(*keys, line).distinct(), keys, [F.col(line)], max_group=max_group)
     island = (F.col(line) - F.col("rn")).alias("_island")
     return placed.groupBy(*keys, island).agg(F.min(line).alias("first"), F.max(line).alias("last")).drop("_island")
 
 
-def quotas(groups: DataFrame, keys: list[str], order: list[Column], cap: int | Column, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def quotas(groups: DataFrame, keys: list[str], order: list[Column], cap: int | Column, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Adds share: the cap split over the rows of each key, the first rows taking the remainder."""
     cap = F.lit(cap) if isinstance(cap, int) else cap
     placed = numbered(groups, keys, order, max_group=max_group)
@@ -24,7 +24,7 @@ def quotas(groups: DataFrame, keys: list[str], order: list[Column], cap: int | C
 
 
 def even_sample(
-    rows: DataFrame, keys: list[str], order: list[Column], k: int | Column, max_group: int = MAX_GROUP_ROWS
+    rows: DataFrame, keys: list[str], order: list[Column], k: int | Column, max_group: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """At most k rows per group, spread evenly in order with both ends kept; k = 1 keeps the first.
 

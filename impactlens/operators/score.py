@@ -19,7 +19,7 @@ def bucket() -> Column:
     )
 
 
-def score_arms(outcomes: DataFrame, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def score_arms(outcomes: DataFrame, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """One row per arm. Infrastructure results leave the denominator; 0 denominators give NULL."""
     b = F.col("bucket")
     rows = outcomes.withColumn("bucket", bucket())

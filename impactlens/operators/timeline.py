@@ -9,7 +9,7 @@ from impactlens.functions.text import is_terminal_event
 from impactlens.plans.ordering import MAX_GROUP_ROWS, with_previous
 
 
-def phase_durations(events: DataFrame, state: Column, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def phase_durations(events: DataFrame, state: Column, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """(job_id, state, visits, micros): time from each entry to the next event of the same job."""
     rows = events.select("job_id", "seq", "ts", state.alias("state"))
     placed = with_previous(rows, ["job_id"], [F.col("seq")], ["state", "ts"], max_group)
@@ -19,7 +19,7 @@ def phase_durations(events: DataFrame, state: Column, max_group: int = MAX_GROUP
     )
 
 
-def seq_gaps(events: DataFrame, keys: list[str], max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def seq_gaps(events: DataFrame, keys: list[str], max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """(keys, first, last) of the missing sequence numbers between neighbours."""
     placed = with_previous(events.select(*keys, "seq").distinct(), keys, [F.col("seq")], ["seq"], max_group)
     return placed.filter(F.col("seq") - F.col("prev_seq") > 1).select(

@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactlens.functions.text import lines_of
+from impactlens.session import spread
 
 GRAPH = "g"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df, "l_orderkey") if name == "lineitem" else df
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def tag(letter: str, number: str | Column) -> Column:
@@ -157,7 +163,7 @@ line AS (
 
 
 def line(spark: SparkSession, d: str) -> DataFrame:
-    return lines_of(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+    return lines_of(documents(spark, d).select("doc_id", "lang", "source", "text"))
 
 
 NEW_LINE = LINE.replace("line AS (", "new_line AS (").replace(
@@ -167,7 +173,7 @@ NEW_LINE = LINE.replace("line AS (", "new_line AS (").replace(
 
 def new_line(spark: SparkSession, d: str) -> DataFrame:
     """The later version of each text: every ' the ' reads ' that '."""
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", "lang", "source", F.replace("text", F.lit(" the "), F.lit(" that ")).alias("text")
     )
     return lines_of(docs)

@@ -23,6 +23,11 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
+def _fits(df: DataFrame, keys: list[str], max_group: int | None) -> bool:
+    """None says the caller knows its groups are bounded, e.g. the lines of one text."""
+    return max_group is None or largest_group(df, keys) <= max_group
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
@@ -32,11 +37,11 @@ def numbered(
     keys: list[str],
     order: list[Column],
     amount: Column | None = None,
-    max_group: int = MAX_GROUP_ROWS,
+    max_group: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Adds rn (1-based position), n (rows of the group) and, with an amount, running (sum so far)."""
     df = df.withColumn("_amount", amount if amount is not None else F.lit(0))
-    if largest_group(df, keys) <= max_group:
+    if _fits(df, keys, max_group):
         w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
         upto = w.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         out = df.withColumn("rn", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(
@@ -74,10 +79,10 @@ def numbered(
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[Column], columns: list[str], max_group: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[Column], columns: list[str], max_group: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Adds prev_<column> from the row before in the group's order."""
-    if largest_group(df, keys) <= max_group:
+    if _fits(df, keys, max_group):
         w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*order)
         return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
     pinned = materialise(numbered(df, keys, order, max_group=max_group))
@@ -87,7 +92,7 @@ def with_previous(
     )
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """(keys, median): equal values are counted first, then the middle rank is located."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
     placed = numbered(counts, keys, [F.col(value)], F.col("copies"), max_group)

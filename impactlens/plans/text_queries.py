@@ -17,7 +17,7 @@ SPACE = r"[\t\n\x0B\f\r\x{85}\p{Z}]+"
 
 @query("SELECT doc_id, sha256(text) AS digest, lang || '/' || source || '/' || doc_id || '.txt' AS path FROM documents")
 def doc_digest(spark, d):
-    return b.table(spark, d, "documents").select(
+    return b.documents(spark, d).select(
         "doc_id", F.sha2("text", 256).alias("digest"),
         F.concat(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")), F.lit(".txt")).alias("path"),
     )
@@ -25,7 +25,7 @@ def doc_digest(spark, d):
 
 @query("SELECT DISTINCT substr(sha256(source || '@' || lang), 1, 24) AS graph_id, source, lang FROM documents")
 def graph_key(spark, d):
-    docs = b.table(spark, d, "documents").select("source", "lang").distinct()
+    docs = b.documents(spark, d).select("source", "lang").distinct()
     return docs.select(key_of("source", "lang").alias("graph_id"), "source", "lang")
 
 
@@ -39,14 +39,14 @@ rest AS (SELECT doc_id, spot, substr(text, spot + 5) AS rest FROM cut)
 SELECT doc_id, CASE WHEN spot = 0 THEN '' ELSE regexp_replace(regexp_replace(
   CASE WHEN instr(rest, '###') > 0 THEN substr(rest, 1, instr(rest, '###') - 1) ELSE rest END, '^{SPACE}', ''), '{SPACE}$', '') END AS block FROM rest""")
 def fenced_block(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", tx.fenced_block("text", "token", "###").alias("block"))
+    return b.documents(spark, d).select("doc_id", tx.fenced_block("text", "token", "###").alias("block"))
 
 
 @query("""WITH idx AS (SELECT doc_id, sha256(replace(text, ' the ', ' that ')) AS sha256 FROM documents),
 stored AS (SELECT doc_id, sha256(text) AS found FROM documents WHERE lang <> 'de')
 SELECT i.doc_id, s.found IS NOT NULL AS present, coalesce(s.found = i.sha256, false) AS intact FROM idx i LEFT JOIN stored s ON i.doc_id = s.doc_id""")
 def artifact_intact(spark, d):
-    docs = b.table(spark, d, "documents")
+    docs = b.documents(spark, d)
     index = docs.select("doc_id", F.sha2(F.replace("text", F.lit(" the "), F.lit(" that ")), 256).alias("sha256"))
     files = docs.filter(F.col("lang") != "de").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return artifacts.artifact_manifest(index, files, ["doc_id"]).drop("sha256")
@@ -76,7 +76,7 @@ def norm_path(spark, d):
 
 @query(rf"""SELECT doc_id, rtrim(substr(trim(regexp_replace(text, '{SPACE}', ' ', 'g'), ' '), 1, 400), '{{:( ') AS signature FROM documents""")
 def norm_text(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", tx.signature_text("text").alias("signature"))
+    return b.documents(spark, d).select("doc_id", tx.signature_text("text").alias("signature"))
 
 
 @query(r"""SELECT page_id, lower(trim(regexp_replace(url, '[^\p{L}\p{N}]', '_', 'g'), '_')) AS slug FROM pages""")
@@ -199,7 +199,7 @@ def findings_status(spark, d):
     found = _findings(b.line(spark, d), "[0-9]")
     old = F.substring("source", F.lit(4), F.length("source")).cast("int") < 10
     before, after = found.filter(old), found.filter(~old)
-    scanned = b.table(spark, d, "documents").select("lang", F.when(old, "before").otherwise("after").alias("side"))
+    scanned = b.documents(spark, d).select("lang", F.when(old, "before").otherwise("after").alias("side"))
     return checks.findings_status(scanned, before, after, checks.new_findings(before, after, ["lang"]), ["lang"])
 
 
@@ -207,7 +207,7 @@ def findings_status(spark, d):
 share AS (SELECT doc_id, ch, count(*) * 1.0 / any_value(n) AS p FROM letter GROUP BY doc_id, ch)
 SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM share GROUP BY doc_id""")
 def entropy(spark, d):
-    bits = sec.text_entropy(b.table(spark, d, "documents"), ["doc_id"])
+    bits = sec.text_entropy(b.documents(spark, d), ["doc_id"])
     return bits.select("doc_id", F.round("bits", 6).alias("bits"))
 
 
@@ -243,14 +243,14 @@ isl AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER
 SELECT doc_id, min(line) AS first, max(line) AS last FROM isl GROUP BY doc_id, g""")
 def line_runs(spark, d):
     changed = _delta(spark, d).filter(F.col("side") == "after")
-    return sampling.line_runs(changed, ["doc_id"])
+    return sampling.line_runs(changed, ["doc_id"], max_group=None)
 
 
 @query("""WITH g AS (SELECT lang, source FROM documents GROUP BY 1, 2),
 p AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM g)
 SELECT lang, source, 50 // n + CASE WHEN rn <= 50 % n THEN 1 ELSE 0 END AS share FROM p""")
 def quotas(spark, d):
-    groups = b.table(spark, d, "documents").select("lang", "source").distinct()
+    groups = b.documents(spark, d).select("lang", "source").distinct()
     return sampling.quotas(groups, ["lang"], [F.col("source")], 50)
 
 
@@ -258,7 +258,7 @@ def quotas(spark, d):
 SELECT doc_id, line_no FROM p WHERE n <= 5 OR len(list_filter(range(5), lambda i: round_even(i * (n - 1) / 4.0, 0) = spot)) > 0""")
 def even_sample(spark, d):
     lines = b.line(spark, d).select("doc_id", "line_no")
-    return sampling.even_sample(lines, ["doc_id"], [F.col("line_no")], 5)
+    return sampling.even_sample(lines, ["doc_id"], [F.col("line_no")], 5, max_group=None)
 
 
 @query(f"""WITH {DELTA}, chg AS (SELECT DISTINCT doc_id, line FROM delta WHERE side = 'before'), site AS (SELECT doc_id, line_no AS line FROM line WHERE regexp_matches(text, 'the'))
@@ -282,7 +282,7 @@ def unexecuted_lines(spark, d):
 
 @query("""SELECT doc_id, CASE WHEN lang <> 'es' THEN replace(text, ' the ', ' that ') ELSE text END AS text, lang <> 'es' AS replaced FROM documents""")
 def overlay(spark, d):
-    docs = b.table(spark, d, "documents")
+    docs = b.documents(spark, d)
     patched = docs.filter(F.col("lang") != "es").select("doc_id", F.replace("text", F.lit(" the "), F.lit(" that ")).alias("text"))
     return edges.overlay(docs, patched, ["doc_id"])
 
@@ -310,7 +310,7 @@ def orphans(spark, d):
     covered = words.filter(F.col("line_no") == 1).join(good, "doc_id", "left_semi").select("graph_id", "path", "name").distinct()
     exported = defs.join(public, "name", "left_semi")
     loose_here = defs.join(loose, "name", "left_semi").select("graph_id", "name")
-    errors = b.table(spark, d, "documents").filter(F.col("lang") == "fr").select(F.col("lang").alias("graph_id"))
+    errors = b.documents(spark, d).filter(F.col("lang") == "fr").select(F.col("lang").alias("graph_id"))
     return cleanup.orphaned_symbols(defs, refs, exported, covered, loose_here, errors).select("graph_id", "path", "name")
 
 
@@ -320,7 +320,7 @@ SELECT CAST(doc_id AS VARCHAR) AS path, name FROM (SELECT * FROM bound EXCEPT SE
 WHERE name NOT LIKE '\\_%' ESCAPE '\\' AND doc_id IN (SELECT doc_id FROM documents WHERE text NOT LIKE '%###%')""")
 def unused_imports(spark, d):
     words = b.line(spark, d).select(b.graph(), F.col("doc_id").cast("string").alias("path"), "line_no", F.explode(tx.tokenise("text")).alias("name"))
-    stars = b.table(spark, d, "documents").filter(F.contains("text", F.lit("###"))).select(b.graph(), F.col("doc_id").cast("string").alias("path"))
+    stars = b.documents(spark, d).filter(F.contains("text", F.lit("###"))).select(b.graph(), F.col("doc_id").cast("string").alias("path"))
     bound, refs = words.filter(F.col("line_no") == 1), words.filter(F.col("line_no") > 1)
     return cleanup.unused_imports(bound, refs, words.limit(0), stars).select("path", "name")
 
@@ -331,7 +331,7 @@ def unused_imports(spark, d):
 @query(rf"""WITH word AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS term FROM documents)
 SELECT term, count(*) AS df FROM word GROUP BY term""")
 def doc_freq(spark, d):
-    return search.doc_freq(search.term_counts(b.table(spark, d, "documents"), "doc_id"))
+    return search.doc_freq(search.term_counts(b.documents(spark, d), "doc_id"))
 
 
 @query(rf"""WITH tok AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
@@ -344,7 +344,7 @@ dot AS (SELECT item_id, doc_id, sum(w * qw) AS dot FROM w JOIN q USING (term) GR
 score AS (SELECT qn.item_id, d.doc_id, round(coalesce(dot / (norm * qnorm), 0), 6) AS score FROM qn CROSS JOIN documents d LEFT JOIN dn USING (doc_id) LEFT JOIN dot ON dot.item_id = qn.item_id AND dot.doc_id = d.doc_id)
 SELECT item_id, doc_id, score FROM score QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 2""")
 def tfidf_topk(spark, d):
-    docs, asked = b.table(spark, d, "documents").select("doc_id", "text"), b.table(spark, d, "benchmark")
+    docs, asked = b.documents(spark, d).select("doc_id", "text"), b.table(spark, d, "benchmark")
     return search.similar_docs(docs, asked, "doc_id", "item_id", k=2)
 
 
