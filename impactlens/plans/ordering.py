@@ -28,8 +28,11 @@ def _fits(df: DataFrame, keys: list[str], max_group: int | None) -> bool:
     return max_group is None or largest_group(df, keys) <= max_group
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe join on keys; the right side's copies are renamed first, as both come from one table."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]) if keys else F.lit(True)
+    return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def numbered(
@@ -69,9 +72,7 @@ def numbered(
         F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"),
         F.sum("_count").over(group).alias("n"),
     )
-    joined = rows.join(shifts, _same(rows, shifts, [*keys, "_part"])).select(
-        *[rows[c] for c in rows.columns], "_skip", "_base", "n"
-    )
+    joined = _join_same(rows, shifts, [*keys, "_part"])
     out = joined.withColumn("rn", F.col("_rn") + F.col("_skip"))
     if amount is not None:
         out = out.withColumn("running", F.col("_sum") + F.col("_base"))
@@ -87,9 +88,7 @@ def with_previous(
         return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
     pinned = materialise(numbered(df, keys, order, max_group=max_group))
     before = pinned.select(*keys, (F.col("rn") + 1).alias("rn"), *[F.col(c).alias(f"prev_{c}") for c in columns])
-    return pinned.join(before, _same(pinned, before, [*keys, "rn"]), "left").select(
-        *[pinned[c] for c in df.columns], *[f"prev_{c}" for c in columns]
-    )
+    return _join_same(pinned, before, [*keys, "rn"], "left").select(*df.columns, *[f"prev_{c}" for c in columns])
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
@@ -99,8 +98,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, max_group: int | No
     totals = counts.groupBy(*keys).agg(F.sum("copies").alias("_all"))
     low, high = F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)
     first, last = F.col("running") - F.col("copies") + 1, F.col("running")
-    cond = _same(placed, totals, keys)
-    joined = placed.join(totals, cond).select(*[placed[c] for c in placed.columns], "_all")
+    joined = _join_same(placed, totals, keys)
     parts = F.when((first <= low) & (low <= last), F.col(value)), F.when((first <= high) & (high <= last), F.col(value))
     return joined.groupBy(*keys).agg(((F.max(parts[0]) + F.max(parts[1])) / 2).alias("median"))
 

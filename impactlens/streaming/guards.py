@@ -31,7 +31,8 @@ class _Gaps(StatefulProcessor):
         wide = np.nonzero(np.diff(chain) > 1)[0]
         if len(chain):
             self.top.update((int(chain[-1]),))
-        yield pd.DataFrame({"job_id": [key[0]] * len(wide), "first": chain[wide] + 1, "last": chain[wide + 1] - 1})
+        if len(wide):
+            yield pd.DataFrame({"job_id": [key[0]] * len(wide), "first": chain[wide] + 1, "last": chain[wide + 1] - 1})
 
     def close(self) -> None:
         pass
