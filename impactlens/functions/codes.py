@@ -70,27 +70,3 @@ def run_verdict(
     return (
         F.when(unapplied, "syntax").when(cut_short, "infrastructure").when(clean, "ok").otherwise("red")
     )
-
-
-def path_traversal(paths: Column) -> Column:
-    return F.exists(
-        paths, lambda p: F.array_contains(F.split(p, "/"), "..") | F.startswith(p, F.lit("/"))
-    )
-
-
-def scope_verdict(
-    touched: Column | str, target_file: Column | str, in_radius: Column, is_test: Column, allows_new: Column | bool = False
-) -> Column:
-    """First rule a patch breaks, in fixed order; ``in_radius`` and ``is_test`` cover all touched paths."""
-    paths = _col(touched)
-    allows = F.lit(allows_new) if isinstance(allows_new, bool) else allows_new
-    manifest = F.exists(paths, lambda p: F.element_at(F.split(p, "/"), -1).isin(*MANIFESTS))
-    return (
-        F.when(path_traversal(paths), "path traversal")
-        .when(F.size(F.array_except(paths, F.array(_col(target_file)))) > 0, "outside task file")
-        .when(F.size(paths) == 0, "no files")
-        .when(is_test, "test file")
-        .when(manifest, "manifest")
-        .when(~in_radius & ~allows, "outside radius")
-        .otherwise("ok")
-    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from impactlens.functions.text import is_test_path, join_name, module_name
+from impactlens.functions.text import is_test_path, join_name, module_name, request_key
 from impactlens.operators import dependencies as dep
 from impactlens.operators import edges as ed
 from impactlens.operators import radius as rad
@@ -147,7 +147,7 @@ def dedupe_first(spark, d):
         b.graph(), F.col("job_id").alias("file"), F.get_json_object("payload", "$.k").cast("int").alias("line"),
         F.col("kind").alias("name"), F.col("seq").alias("stage"),
     )
-    key = F.sha2(F.to_json(F.struct(F.col("name").alias("kind"), "line")), 256)
+    key = request_key(F.col("name").alias("kind"), "line")
     return rad.dedupe_unresolved(rows, ["graph_id"]).select("file", "line", "name", "stage", key.alias("request_key"))
 
 

@@ -277,18 +277,18 @@ def target_status(spark, d):
 
 
 EXPORTS = """
-exp AS (SELECT DISTINCT p_brand AS path, p_brand || '.' || p_name AS fqn, p_name AS name, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25),
-decl AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size = 50)"""
+exp AS (SELECT DISTINCT p_brand AS path, p_brand || '.p' || p_partkey AS fqn, 'p' || p_partkey AS name, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25),
+decl AS (SELECT DISTINCT 'p' || p_partkey AS name FROM part WHERE p_size > 40)"""
 
 
 def _exports(spark, d):
     return b.table(spark, d, "lineitem").filter(F.col("l_quantity") > 25).join(b.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        b.graph(), F.col("p_brand").alias("path"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"), F.col("p_name").alias("name"), F.col("l_returnflag").alias("flag")
+        b.graph(), F.col("p_brand").alias("path"), F.concat_ws(".", F.col("p_brand"), b.tag("p", "p_partkey")).alias("fqn"), b.tag("p", "p_partkey").alias("name"), F.col("l_returnflag").alias("flag")
     ).distinct()
 
 
 def _declared(spark, d):
-    return b.table(spark, d, "part").filter(F.col("p_size") == 50).select(b.graph(), F.col("p_name").alias("name"))
+    return b.table(spark, d, "part").filter(F.col("p_size") > 40).select(b.graph(), b.tag("p", "p_partkey").alias("name"))
 
 
 @query(f"""WITH {EXPORTS} SELECT path, fqn FROM exp WHERE flag = 'N' AND name NOT IN (SELECT name FROM decl) EXCEPT SELECT path, fqn FROM exp WHERE flag = 'R'""")
@@ -643,11 +643,22 @@ def provenance(spark, d):
     return b.run_job(spark, d).select("job_id", out.provenance("tunables").alias("_p")).select("job_id", "_p.*")
 
 
-@query()
-def evidence(spark, d):
-    lines = b.table(spark, d, "lineitem")
-    artifacts = lines.select(
+def _evidence(spark, d):
+    artifacts = b.table(spark, d, "lineitem").select(
         b.tag("o", "l_orderkey").alias("job_id"), b.tag("d", "l_suppkey").alias("artifact_id"), F.lit("diff").alias("kind"),
         b.tag("patches/", "l_suppkey").alias("path"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"),
     )
     return out.evidence(b.run_job(spark, d), b.run_task(spark, d), _attempts(spark, d), artifacts, _signals(spark, d))
+
+
+@query()
+def evidence(spark, d):
+    return _evidence(spark, d)
+
+
+@query("""WITH j AS (SELECT o_orderkey FROM orders), l AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS t FROM lineitem GROUP BY 1)
+SELECT 'o' || o_orderkey AS job_id, unnest(['job', 'provenance', 'outcome', 'gates']) AS section, 1 AS items FROM j
+UNION ALL SELECT 'o' || l_orderkey, 'usage', 1 FROM l UNION ALL SELECT 'o' || l_orderkey, 'task', t FROM l
+UNION ALL SELECT 'o' || l_orderkey, unnest(['attempt', 'artifact']), n FROM l""")
+def evidence_sections(spark, d):
+    return _evidence(spark, d).groupBy("job_id", "section").agg(F.count("document").alias("items"))

@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime SQL settings every operator relies on; nothing that sizes the cluster."""
@@ -51,9 +53,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if sc.applicationId not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_SCRATCH[sc.applicationId]
 
 
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:

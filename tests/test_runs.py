@@ -221,6 +221,19 @@ def test_provenance(spark):
     assert got == [("live", "live", True), ("local", "live", False), ("unknown", "unknown", False), ("unknown", "unknown", False)]
 
 
+def test_evidence_keeps_every_section_as_rows(spark):
+    jobs = frame(spark, "job_id STRING, repo_url STRING, commit_sha STRING, goal STRING, target_fqn STRING, state STRING, stop_reason STRING, pr_url STRING, tunables STRING, "
+                 "tokens_spent BIGINT, token_budget BIGINT", ("j", "r", "c", "g", "t", "Done", None, "u", None, 5, 9))
+    tasks = frame(spark, "job_id STRING, seq INT, target_file STRING, state STRING, winning_attempt_id STRING, discard_reason STRING", ("j", 1, "a", "verified", "w", None), ("j", 2, "b", "pending", None, None))
+    attempts = frame(spark, "job_id STRING, attempt_id STRING, task_id STRING, n INT, verdict STRING, gate STRING, duration_ms BIGINT, prompt_tokens BIGINT, completion_tokens BIGINT, cost DOUBLE",
+                     ("j", "w", "t1", 1, "ok", None, 3, 1, 2, 0.5))
+    artifacts = frame(spark, "job_id STRING, artifact_id STRING, kind STRING, path STRING, sha256 STRING", ("j", "x", "diff", "p", "h"))
+    signals = spark.createDataFrame([signal("Done", pr="u", counts=(1, 0, 0))], SIGNALS)
+    got = outcome.evidence(jobs, tasks, attempts, artifacts, signals).collect()
+    assert sorted(r.section for r in got) == ["artifact", "attempt", "gates", "job", "outcome", "provenance", "task", "task", "usage"]
+    assert '"outcome":"VERIFIED"' in next(r.document for r in got if r.section == "outcome")
+
+
 # ------------------------------------------------------------------- checks --
 
 
@@ -330,6 +343,12 @@ def test_dense_search_in_blocks(spark, monkeypatch, rows):
     assert {(r[0], r[1]) for r in whole} == {(q, int(i)) for q in range(40) for i in best[q]}
 
 
+def test_embedder_of_the_caller(spark, rows):
+    docs = spark.createDataFrame([(1, "ab"), (2, None)], "id INT, text STRING")
+    got = search.embed(docs, lambda texts: [[float(len(t)), 1.0] for t in texts])
+    assert rows(got, "id", "embedding") == [(1, [2.0, 1.0]), (2, [0.0, 1.0])]
+
+
 # ------------------------------------------------------------------ schemas --
 
 
