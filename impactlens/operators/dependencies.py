@@ -28,7 +28,8 @@ def order_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
         blocked = deps.join(open_tasks, ["job_id", "needs"], "left_semi").select("job_id", "seq")
         if held:
             blocked = blocked.unionByName(stuck)
-        # One task per file: the lowest number among the ready ones of its job.
+        # One task per file: the lowest number among the ready ones of its job. Tasks of one file take a
+        # wave each, so a file with very many of them could not be levelled anyway.
         state = remaining.join(blocked.distinct().withColumn("_held", F.lit(True)), ["job_id", "seq"], "left")
         first = F.min(F.when(F.col("_held").isNull(), F.col("seq"))).over(rivals)
         state = materialise(state.withColumn("_now", F.col("_held").isNull() & (F.col("seq") == first)).drop("_held"))

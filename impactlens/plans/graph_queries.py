@@ -56,6 +56,40 @@ def radius_cap(spark, d):
     return rad.within_cap(files, ["graph_id", "target"], cap=40).select("files", "status")
 
 
+FULL = f"""
+WITH RECURSIVE {b.SYMBOL}, {b.SITE}, {b.IMPORT_EDGE}, {b.TEST_EDGE},
+home AS (SELECT fqn, path FROM symbol),
+step AS (
+  SELECT DISTINCT callee AS src, caller AS dst, 3 AS cost FROM site WHERE callee IS NOT NULL
+  UNION ALL SELECT fqn, 'home:' || path, 1 FROM home
+  UNION ALL SELECT DISTINCT 'home:' || resolved_path, 'file:' || path, 1 FROM import_edge
+  UNION ALL SELECT DISTINCT resolved_symbol, 'file:' || path, 2 FROM import_edge
+  UNION ALL SELECT 'file:' || path, fqn, 1 FROM home),
+walk(node, d) AS (SELECT 'p1', 0 UNION SELECT s.dst, w.d + s.cost FROM walk w JOIN step s ON s.src = w.node WHERE w.d + s.cost <= 9),
+first AS (SELECT node, min(d) AS d FROM walk GROUP BY node),
+seen AS (SELECT node AS fqn, d // 3 AS depth FROM first WHERE node NOT LIKE 'home:%' AND node NOT LIKE 'file:%'),
+hit AS (SELECT s.path, s.line, s.callee_name, s.confidence, s.callee = 'p1' AS direct FROM site s JOIN seen ON seen.fqn = s.callee WHERE seen.depth < 3),
+named AS (SELECT path, line, callee_name FROM site WHERE callee IS NULL AND callee_name = (SELECT name FROM symbol WHERE fqn = 'p1')),
+inside AS (SELECT path FROM symbol WHERE fqn = 'p1' UNION SELECT substr(node, 6) FROM first WHERE node LIKE 'file:%' UNION SELECT path FROM hit UNION SELECT path FROM named),
+loose AS (SELECT path, line, callee_name FROM hit WHERE confidence = 'heuristic' UNION SELECT path, line, callee_name FROM named
+  UNION SELECT path, line, callee_name FROM site WHERE dynamic AND path IN (SELECT path FROM inside)),
+tests AS (SELECT DISTINCT nodeid, test_path FROM test_edge JOIN seen ON seen.fqn = symbol)
+SELECT (SELECT count(*) FROM inside WHERE path NOT IN (SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 4)) AS files, (SELECT count(DISTINCT nodeid) FROM tests) AS tests,
+  (SELECT count(DISTINCT test_path) FROM tests) AS test_files, (SELECT count(*) FROM hit) AS call_sites, (SELECT count_if(direct) FROM hit) AS target_sites,
+  (SELECT count(*) FROM loose) AS unresolved, (SELECT max(depth) FROM seen) AS deepest"""
+
+
+@query(FULL)
+def radius_full(spark, d):
+    symbols, sites = materialise(b.symbol(spark, d)), materialise(b.call_site(spark, d))
+    nation = b.table(spark, d, "nation").select(
+        b.graph(), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("path"), (F.col("n_regionkey") == 4).alias("is_test")
+    )
+    imports = materialise(b.import_edge(spark, d))
+    radius = rad.blast_radius(rad.find_target(symbols, "p1"), symbols, sites, imports, nation, b.test_edge(spark, d))
+    return radius.status.drop("graph_id", "target", "status")
+
+
 @query("""SELECT 'p' || p_partkey AS fqn, p_brand AS path,
   row_number() OVER (ORDER BY length(p_brand) - length(replace(p_brand, '/', '')), p_brand, p_partkey) = 1 AS is_target
 FROM part WHERE p_name = 'red widget'""")

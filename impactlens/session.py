@@ -16,6 +16,7 @@ SQL_SETTINGS = {
 }
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -66,9 +67,19 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables this application wrote to cut lineage; call it once their results are stored."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal a scan over the cores when its files give it fewer tasks than that; a large scan is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

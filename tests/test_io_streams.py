@@ -187,3 +187,17 @@ def test_diffs(spark, rows):
     assert got["two files"].paths == ["m.py", "n.py"]
     assert rows(lines.filter("name = 'good'"), "op", "text", "old_no", "new_no") == [(" ", "a", 3, 3), (" ", "d", 5, 5), ("+", "c", None, 4), ("-", "b", 4, None)]
     assert lines.filter("name IN ('twice', 'empty')").isEmpty()
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from impactlens import session
+
+    kept = session.materialise(spark.range(3))
+    files = [Path(f.removeprefix("file://").removeprefix("file:")) for f in kept.inputFiles()]
+    assert kept.count() == 3 and all(f.exists() for f in files)
+    ours = session._WRITTEN[spark.sparkContext.applicationId]
+    rest, session._WRITTEN[spark.sparkContext.applicationId] = ours[:-1], ours[-1:]
+    assert session.clear_scratch(spark) == 1 and not any(f.exists() for f in files)
+    session._WRITTEN[spark.sparkContext.applicationId] = rest
