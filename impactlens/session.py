@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,6 @@ SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_LOCAL_SCRATCH: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -44,19 +42,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
-
-    Only a local master may fall back to a folder of this machine.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if sc.applicationId not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _LOCAL_SCRATCH[sc.applicationId]
+    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session, else a folder in its warehouse."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:

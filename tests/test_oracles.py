@@ -3,19 +3,20 @@
 import pytest
 
 import __spark_entry__ as entry
+from impactlens.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
-    got = compare(spark, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    got = compare(spark, name, QUERIES[name], ORACLES.get(name), SF)
     assert got["ok"] is not False, got
 
 
 def test_only_documents_lack_a_twin():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"evidence"}
+    assert set(QUERIES) - set(ORACLES) == {"evidence"}
 
 
 def test_entry(spark):

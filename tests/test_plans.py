@@ -2,12 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from impactlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # These parse or multiply inside Python tasks by design.
 PYTHON = {"tfidf_topk", "vector_topk", "budget_replay", "stream_gaps", "stream_budget", "stream_closing"}
-NATIVE = sorted(set(entry.queries()) - PYTHON)
+NATIVE = sorted(set(QUERIES) - PYTHON)
 
 
 def plan(df) -> str:
@@ -16,21 +16,21 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize("name", ["secrets", "resolve_cascade", "outcome", "plan_gaps", "scope_verdict", "range_hits", "usage", "recall", "call_compat"])
 def test_native_and_without_cross_products(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert "EvalPython" not in text and "InPandas" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    text = plan(entry.queries()["open_attempts"](spark, SF))
+    text = plan(QUERIES["open_attempts"](spark, SF))
     assert "PushedFilters: [IsNotNull" in text or "PushedFilters: [" in text
     assert "o_orderdate" not in text
 
 
 def test_top_k_trims_before_the_shuffle(spark):
-    assert "WindowGroupLimit" in plan(entry.queries()["tree_level"](spark, SF))
+    assert "WindowGroupLimit" in plan(QUERIES["tree_level"](spark, SF))
 
 
 def test_hot_jobs_shrink_before_the_shuffle(spark):
-    text = plan(entry.queries()["latest_per_key"](spark, SF))
+    text = plan(QUERIES["latest_per_key"](spark, SF))
     assert text.count("Aggregate") >= 2
