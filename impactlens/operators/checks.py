@@ -143,8 +143,8 @@ def coverage_drops(before: DataFrame, after: DataFrame, touched: DataFrame, keys
 
 
 def test_count_ok(before: Column, after: Column) -> Column:
-    """Equal counts, or unknown when either was never measured."""
-    return F.when(before.isNull() | after.isNull(), True).otherwise(before == after)
+    """Equal counts; NULL, for unknown, when either was never measured."""
+    return before == after
 
 
 def unexecuted_changed_lines(changed: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:

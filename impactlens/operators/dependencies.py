@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from impactlens.session import materialise
@@ -14,31 +13,24 @@ from impactlens.session import materialise
 def order_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(job_id, seq, wave): a task runs after its dependencies and never beside one on the same file.
 
-    ``tasks`` has (job_id, seq, target_file), ``deps`` (job_id, seq, needs). Tasks of a cycle have wave NULL.
+    ``tasks`` has (job_id, seq, target_file), ``deps`` (job_id, seq, needs). Tasks of a cycle, and those that wait for a
+    task that does not exist, have wave NULL. Each task carries the number of its open dependencies; a round takes the lowest
+    ready task of each file by an aggregate, so a file with very many tasks is never gathered, and finished jobs drop out.
     """
+    needs = materialise(deps.select("job_id", "seq", "needs").distinct())
+    counted = needs.groupBy("job_id", "seq").agg(F.count(F.lit(1)).alias("open"))
+    remaining = materialise(tasks.select("job_id", "seq", "target_file").distinct().join(counted, ["job_id", "seq"], "left").fillna(0, ["open"]))
     waves: list[DataFrame] = []
-    remaining = materialise(tasks.select("job_id", "seq", "target_file").distinct())
-    # A dependency that is no task at all never completes, so its dependants stay behind for good.
-    known = remaining.select("job_id", F.col("seq").alias("needs"))
-    stuck = materialise(deps.join(known, ["job_id", "needs"], "left_anti").select("job_id", "seq").distinct())
-    held = not stuck.isEmpty()
-    rivals = W.partitionBy("job_id", "target_file")
     while True:
-        open_tasks = remaining.select("job_id", F.col("seq").alias("needs"))
-        blocked = deps.join(open_tasks, ["job_id", "needs"], "left_semi").select("job_id", "seq")
-        if held:
-            blocked = blocked.unionByName(stuck)
-        # One task per file: the lowest number among the ready ones of its job. Tasks of one file take a
-        # wave each, so a file with very many of them could not be levelled anyway.
-        state = remaining.join(blocked.distinct().withColumn("_held", F.lit(True)), ["job_id", "seq"], "left")
-        first = F.min(F.when(F.col("_held").isNull(), F.col("seq"))).over(rivals)
-        state = materialise(state.withColumn("_now", F.col("_held").isNull() & (F.col("seq") == first)).drop("_held"))
-        wave = state.filter("_now").select("job_id", "seq", F.lit(len(waves) + 1).alias("wave"))
-        remaining = state.filter("NOT _now").select("job_id", "seq", "target_file")
+        ready = remaining.filter("open = 0").groupBy("job_id", "target_file").agg(F.min("seq").alias("seq"))
+        wave = materialise(ready.select("job_id", "seq").distinct())
         if wave.isEmpty():
             left = remaining.select("job_id", "seq", F.lit(None).cast("int").alias("wave"))
             return reduce(DataFrame.unionByName, [*waves, left])
-        waves.append(wave)
+        waves.append(wave.withColumn("wave", F.lit(len(waves) + 1)))
+        freed = needs.join(wave.withColumnRenamed("seq", "needs"), ["job_id", "needs"]).groupBy("job_id", "seq").agg(F.count(F.lit(1)).alias("freed"))
+        rest = remaining.join(wave, ["job_id", "seq"], "left_anti").join(freed, ["job_id", "seq"], "left")
+        remaining = materialise(rest.select("job_id", "seq", "target_file", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
 
 
 def closure(deps: DataFrame) -> DataFrame:

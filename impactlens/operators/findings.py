@@ -1,130 +1,14 @@
-"""Rules over parsed sources and whole corpora."""
+"""Findings over whole corpora of files."""
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from impactlens.functions.secrets import secret_rules
 from impactlens.functions.text import lines_of
 
-FINDING = "rule STRING, path STRING, line INT, message STRING, snippet STRING"
-
-
-@dataclass(frozen=True)
-class Rule:
-    """A named predicate over (dotted callee, call)."""
-
-    name: str
-    message: str
-    holds: Callable[[str, ast.Call], bool]
-
-
-def _dotted(node: ast.AST) -> str:
-    parts: list[str] = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    if isinstance(node, ast.Name):
-        parts.append(node.id)
-    return ".".join(reversed(parts))
-
-
-def _constant(node: ast.AST) -> bool:
-    return isinstance(node, ast.Constant)
-
-
-def _keyword(call: ast.Call, name: str, value: bool) -> bool:
-    return any(k.arg == name and _constant(k.value) and k.value.value is value for k in call.keywords)
-
-
-def _safe_loader(call: ast.Call) -> bool:
-    named = [k.value for k in call.keywords if k.arg in ("Loader", "loader")]
-    return any("Safe" in _dotted(v) for v in [*named, *call.args[1:]])
-
-
-def _computed_argument(call: ast.Call) -> bool:
-    return any(
-        not _constant(a) and not (isinstance(a, ast.List) and all(map(_constant, a.elts))) for a in call.args
-    )
-
-
-def _assembled_text(node: ast.AST) -> bool:
-    match node:
-        case ast.JoinedStr():
-            return any(isinstance(v, ast.FormattedValue) for v in node.values)
-        case ast.BinOp(op=ast.Mod() | ast.Add()):
-            return not (_constant(node.left) and _constant(node.right))
-        case ast.Call():
-            return isinstance(node.func, ast.Attribute) and node.func.attr == "format"
-    return False
-
-
-def _shell(name: str, call: ast.Call) -> bool:
-    direct = name in ("os.system", "os.popen")
-    through = name.startswith("subprocess.") and _keyword(call, "shell", True)
-    return (direct or through) and _computed_argument(call)
-
-
-# The rules and the callees they watch.
-RULES = (
-    Rule("python.dangerous_eval", "evaluates a non-literal expression",
-         lambda n, c: n in ("eval", "exec") and bool(c.args) and not _constant(c.args[0])),
-    Rule("python.insecure_deserialisation", "deserialises arbitrary objects",
-         lambda n, c: n in ("pickle.loads", "pickle.load", "dill.loads", "cPickle.loads")),
-    Rule("python.yaml_unsafe_load", "loads YAML without a safe loader",
-         lambda n, c: n == "yaml.load" and not _safe_loader(c)),
-    Rule("python.shell_injection", "builds a shell command from a non-literal", _shell),
-    Rule("python.sql_injection", "builds SQL text instead of binding parameters",
-         lambda n, c: n.endswith((".execute", "cursor.executemany")) and bool(c.args) and _assembled_text(c.args[0])),
-    Rule("python.weak_hash", "uses a hash unsuitable for credentials",
-         lambda n, c: n in ("hashlib.md5", "hashlib.sha1")),
-    Rule("python.tls_verification_disabled", "switches certificate checks off",
-         lambda n, c: _keyword(c, "verify", False)),
-    Rule("python.insecure_temp_file", "names a temporary file before it exists",
-         lambda n, c: n == "tempfile.mktemp"),
-)
-
-
-def rule_hits(text: str) -> Iterator[tuple[str, int, str, str]]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return
-    lines = text.splitlines()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Call):
-            name = _dotted(node.func)
-            for rule in RULES:
-                if rule.holds(name, node):
-                    yield rule.name, node.lineno, rule.message, lines[node.lineno - 1].strip()
-
-
-def ast_rules(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings in Python sources; one that does not parse has none here. ``files`` has (keys, path, text)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                hits = list(rule_hits(row["text"]))
-                if hits:
-                    out = pd.DataFrame(hits, columns=["rule", "line", "message", "snippet"])
-                    for key in [*keys, "path"]:
-                        out[key] = row[key]
-                    yield out[[*keys, "rule", "path", "line", "message", "snippet"]]
-
-    python = files.filter(F.endswith("path", F.lit(".py"))).select(*keys, "path", "text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema.fields]
-    return python.mapInPandas(run, ", ".join([*fields, FINDING]))
-
 
 def scan_sources(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Secrets in any file, code rules in Python files: (keys, rule, path, line, message, snippet)."""
-    columns = [*keys, "rule", "path", "line", "message", "snippet"]
-    lines = lines_of(files.select(*keys, "path", "text"))
-    secrets = secret_rules(lines).withColumnRenamed("line_no", "line").select(*columns)
-    return secrets.unionByName(ast_rules(files, keys).select(*columns))
+    """Secrets in any file: (keys, rule, path, line, message, snippet). ``files`` has (keys, path, text)."""
+    found = secret_rules(lines_of(files.select(*keys, "path", "text")))
+    return found.withColumnRenamed("line_no", "line").select(*keys, "rule", "path", "line", "message", "snippet")

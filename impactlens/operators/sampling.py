@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactlens.plans.ordering import MAX_GROUP_ROWS, numbered
+from impactlens.plans.ordering import numbered
 
 
-def line_runs(lines: DataFrame, keys: list[str], line: str = "line", max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
+def line_runs(lines: DataFrame, keys: list[str], line: str = "line", bounded: bool = False) -> DataFrame:
     """(keys, first, last): maximal runs of consecutive numbers."""
-    placed = numbered(lines.select(*keys, line).distinct(), keys, [F.col(line)], max_group=max_group)
+    placed = numbered(lines.select(*keys, line).distinct(), keys, [F.col(line)], bounded=bounded)
     island = (F.col(line) - F.col("rn")).alias("_island")
     return placed.groupBy(*keys, island).agg(F.min(line).alias("first"), F.max(line).alias("last")).drop("_island")
 
 
-def quotas(groups: DataFrame, keys: list[str], order: list[Column], cap: int | Column, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
+def quotas(groups: DataFrame, keys: list[str], order: list[Column], cap: int | Column, bounded: bool = False) -> DataFrame:
     """Adds share: the cap split over the rows of each key, the first rows taking the remainder."""
     cap = F.lit(cap) if isinstance(cap, int) else cap
-    placed = numbered(groups, keys, order, max_group=max_group)
+    placed = numbered(groups, keys, order, bounded=bounded)
     extra = F.when(F.col("rn") <= F.pmod(cap, F.col("n")), 1).otherwise(0)
     return placed.withColumn("share", F.floor(cap / F.col("n")) + extra).drop("rn", "n")
 
 
 def even_sample(
-    rows: DataFrame, keys: list[str], order: list[Column], k: int | Column, max_group: int | None = MAX_GROUP_ROWS
+    rows: DataFrame, keys: list[str], order: list[Column], k: int | Column, bounded: bool = False
 ) -> DataFrame:
     """At most k rows per group, spread evenly in order with both ends kept; k = 1 keeps the first.
 
     Sampling is what this operator is for; nothing else in the library drops rows.
     """
     k = F.lit(k) if isinstance(k, int) else k
-    placed = numbered(rows, keys, order, max_group=max_group)
+    placed = numbered(rows, keys, order, bounded=bounded)
     at, last = F.col("rn") - 1, F.col("n") - 1
     spread = F.exists(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lambda i: F.bround(i * last / F.greatest(k - 1, F.lit(1)), 0) == at)
     keep = F.when(k >= F.col("n"), True).when(k <= 0, False).when(k == 1, at == 0).otherwise(spread)

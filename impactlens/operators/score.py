@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.functions.codes import is_infrastructure
-from impactlens.plans.ordering import MAX_GROUP_ROWS, exact_median
+from impactlens.plans.ordering import exact_median
 
 
 def bucket() -> Column:
@@ -19,7 +19,7 @@ def bucket() -> Column:
     )
 
 
-def score_arms(outcomes: DataFrame, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
+def score_arms(outcomes: DataFrame, bounded: bool = False) -> DataFrame:
     """One row per arm. Infrastructure results leave the denominator; 0 denominators give NULL."""
     b = F.col("bucket")
     rows = outcomes.withColumn("bucket", bucket())
@@ -37,7 +37,7 @@ def score_arms(outcomes: DataFrame, max_group: int | None = MAX_GROUP_ROWS) -> D
         F.count_if(checked).alias("checked"), F.count_if(checked & ~F.col("oracle")).alias("false_accepts"),
     )
     median = exact_median(
-        rows.filter(b == "verified").select("arm", "duration_s"), ["arm"], "duration_s", max_group
+        rows.filter(b == "verified").select("arm", "duration_s"), ["arm"], "duration_s", bounded
     ).withColumnRenamed("median", "median_time")
     verified = F.nullif(F.col("verified"), F.lit(0))
     scored = F.nullif(F.col("verified") + F.col("unverified") + F.col("failed_on_merit"), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.operators.radius import find_symbols
@@ -37,42 +37,51 @@ def bounded_tree(entries: DataFrame, keys: list[str], limit: int = TREE_LIMIT) -
     return shown.join(totals, level).withColumn("truncated", F.col("total") > limit)
 
 
-def tree_level(files: DataFrame, prefix: str, limit: int = TREE_LIMIT) -> DataFrame:
-    """One level of each graph's tree; a graph without the prefix has one row of kind 'missing'."""
-    under = f"{prefix.strip('/')}/" if prefix.strip("/") else ""
+def tree_level(files: DataFrame, prefix: str, limit: int = TREE_LIMIT, symbols: DataFrame | None = None) -> DataFrame:
+    """One level of each graph's tree; a graph without the prefix has one row of kind 'missing'.
+
+    A prefix that is a file lists its ``symbols`` (graph_id, path, fqn, line_start, line_end), or is one row of kind 'file' without them.
+    """
+    here = prefix.strip("/")
+    under = f"{here}/" if here else ""
     inside = files.filter(F.startswith("path", F.lit(under))).select(
         "graph_id", F.substring("path", F.lit(len(under) + 1), F.length("path")).alias("rest")
     )
     head = F.split_part("rest", F.lit("/"), F.lit(1))
     kind = F.when(F.contains("rest", F.lit("/")), "dir").otherwise("file")
-    entries = inside.groupBy("graph_id", F.lit(under.rstrip("/")).alias("prefix"), head.alias("name"), kind.alias("kind")).agg(
+    entries = inside.groupBy("graph_id", F.lit(here).alias("prefix"), head.alias("name"), kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("files")
     )
-    missing = files.select("graph_id").distinct().join(inside.select("graph_id").distinct(), "graph_id", "left_anti")
-    return bounded_tree(entries, ["graph_id"], limit).unionByName(
-        missing.select("graph_id", F.lit(under.rstrip("/")).alias("prefix"), F.lit("missing").alias("kind"),
-                       F.lit(0).cast("long").alias("total"), F.lit(False).alias("truncated")),
-        allowMissingColumns=True,
-    )
+    is_file = files.filter(F.col("path") == here).select("graph_id").distinct()
+    none = F.lit(None).cast("long")
+    if symbols is None:
+        listed = is_file.select("graph_id", F.lit(here.rsplit("/", 1)[-1]).alias("name"), F.lit("file").alias("kind"), none.alias("line_start"), none.alias("line_end"))
+    else:
+        listed = symbols.filter(F.col("path") == here).join(is_file, "graph_id", "left_semi").select(
+            "graph_id", F.col("fqn").alias("name"), F.lit("symbol").alias("kind"), F.col("line_start").cast("long"), F.col("line_end").cast("long")
+        )
+    missing = files.select("graph_id").distinct().join(inside.select("graph_id").distinct().unionByName(is_file), "graph_id", "left_anti")
+    flags = [F.lit(here).alias("prefix"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("truncated")]
+    shown = bounded_tree(entries, ["graph_id"], limit)
+    rest = listed.select("*", *flags).unionByName(missing.select("graph_id", F.lit("missing").alias("kind"), *flags), allowMissingColumns=True)
+    return shown.unionByName(rest, allowMissingColumns=True)
 
 
 def read_span(lines: DataFrame, spans: DataFrame, keys: list[str], cap: int = SPAN_LIMIT) -> DataFrame:
-    """(keys, start, end, truncated, text): the lines of each span (keys, start, end), at most ``cap`` of them."""
+    """(keys, start, end, truncated, found, total_lines, text): the lines of each span (keys, start, end), at most ``cap`` of them.
+
+    Every span has its row: a file that is not there is not ``found``, and a span past its end has no ``end`` and no text.
+    """
     start = F.greatest(F.col("start"), F.lit(1))
     stop = F.greatest(F.col("end"), start)
-    wanted = spans.withColumns({"start": start, "_stop": F.least(stop, start + cap - 1)}).withColumn(
-        "truncated", stop - start + 1 >= cap
-    )
-    inside = lines.join(wanted, keys).filter(F.col("line_no").between(F.col("start"), F.col("_stop")))
-    return inside.groupBy(*keys, "start", "truncated").agg(
-        F.max("line_no").alias("end"), joined_lines("text").alias("text")
+    wanted = spans.select(*keys, start.alias("start"), F.least(stop, start + cap - 1).alias("_stop"), (stop - start + 1 >= cap).alias("truncated")).distinct()
+    inside = F.col("line_no").between(F.col("start"), F.col("_stop"))
+    # Lines outside a span count, but only those inside are gathered.
+    kept = F.sort_array(F.collect_list(F.when(inside, F.struct("line_no", "text"))))
+    found = lines.join(wanted, keys).groupBy(*keys, "start", "truncated").agg(
+        F.max(F.when(inside, F.col("line_no"))).alias("end"), F.count(F.lit(1)).alias("total_lines"), F.array_join(F.transform(kept, lambda s: s["text"]), "\n").alias("text")
     )
-
-
-def joined_lines(text: str) -> Column:
-    """Lines of one bounded span, in order."""
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", text)))
-    return F.array_join(F.transform(ordered, lambda s: s[text]), "\n")
+    return wanted.drop("_stop").join(found, [*keys, "start", "truncated"], "left").withColumn("found", F.col("total_lines").isNotNull()).fillna({"total_lines": 0, "text": ""})
 
 
 def entity(symbols: DataFrame, lines: DataFrame, name: str, limit: int = 5, cap: int = SPAN_LIMIT) -> DataFrame:
@@ -82,7 +91,7 @@ def entity(symbols: DataFrame, lines: DataFrame, name: str, limit: int = 5, cap:
     shown = first_rows(found, ["graph_id"], [F.col("path"), F.col("line_start"), F.col("fqn")], limit).drop("rn")
     spans = shown.select("graph_id", "path", F.col("line_start").alias("start"), F.col("line_end").alias("end")).distinct()
     source = read_span(lines, spans, ["graph_id", "path"], cap).select(
-        "graph_id", "path", F.col("start").alias("line_start"), F.col("text").alias("source")
+        "graph_id", "path", F.col("start").alias("line_start"), F.col("text").alias("source"), "total_lines"
     )
     return (
         shown.select("graph_id", "fqn", "path", "line_start", "line_end")

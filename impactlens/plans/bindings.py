@@ -9,18 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactlens.functions.text import lines_of
-from impactlens.session import spread
 
 GRAPH = "g"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df, "l_orderkey") if name == "lineitem" else df
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"), "doc_id")
+    return table(spark, d, "documents")
 
 
 def tag(letter: str, number: str | Column) -> Column:

@@ -35,7 +35,18 @@ SELECT l.node, l.depth, e.sites, e.proved FROM level l LEFT JOIN entry e ON l.no
 def blast_radius(spark, d):
     edges = materialise(b.call_edge(spark, d))
     reached = rad.reach(rad.require_target(_targets(spark, d), TARGET), edges)
-    return rad.entry_edges(reached, edges).select("node", "depth", "sites", "proved")
+    return reached.select("node", "depth", "sites", "proved")
+
+
+@query(f"""WITH RECURSIVE {b.CALL_EDGE}, aim AS (SELECT 's' || s_suppkey AS target FROM supplier WHERE s_nationkey = 3),
+reach(target, node, depth) AS (
+  SELECT target, target, 0 FROM aim UNION SELECT r.target, e.caller, r.depth + 1 FROM reach r JOIN call_edge e ON e.callee = r.node WHERE r.depth < 2),
+level AS (SELECT target, node, min(depth) AS depth FROM reach GROUP BY 1, 2),
+entry AS (SELECT l.target, e.caller AS node, l.depth + 1 AS depth, count(*) AS sites, bool_or(e.confidence = 'static') AS proved FROM level l JOIN call_edge e ON e.callee = l.node GROUP BY 1, 2, 3)
+SELECT l.target, l.node, l.depth, e.sites, e.proved FROM level l LEFT JOIN entry e ON l.target = e.target AND l.node = e.node AND l.depth = e.depth""")
+def blast_radius_many(spark, d):
+    aims = b.table(spark, d, "supplier").filter(F.col("s_nationkey") == 3).select(b.graph(), b.tag("s", "s_suppkey").alias("target"))
+    return rad.reach(aims, materialise(b.call_edge(spark, d)), max_depth=2).drop("graph_id")
 
 
 @query(f"{REACH} SELECT path, count(*) AS nodes, min(depth) AS depth FROM level JOIN symbol ON fqn = node GROUP BY path")
@@ -90,6 +101,22 @@ def radius_full(spark, d):
     return radius.status.drop("graph_id", "target", "status")
 
 
+@query(f"""WITH {b.SYMBOL}, {b.SITE}, {b.IMPORT_EDGE}, {b.TEST_EDGE}, own AS (SELECT path FROM symbol WHERE fqn = 'p1'),
+inside AS (SELECT path FROM own UNION SELECT path FROM import_edge WHERE resolved_symbol = 'p1' OR resolved_path IN (SELECT path FROM own)),
+loose AS (SELECT DISTINCT path, line, callee_name FROM site WHERE dynamic AND path IN (SELECT path FROM inside)),
+tests AS (SELECT DISTINCT nodeid, test_path FROM test_edge WHERE symbol = 'p1')
+SELECT (SELECT count(*) FROM inside WHERE path NOT IN (SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 4)) AS files, (SELECT count(DISTINCT nodeid) FROM tests) AS tests,
+  (SELECT count(DISTINCT test_path) FROM tests) AS test_files, 0 AS call_sites, 0 AS target_sites, (SELECT count(*) FROM loose) AS unresolved, 0 AS deepest""")
+def importers_radius(spark, d):
+    symbols, sites = materialise(b.symbol(spark, d)), materialise(b.call_site(spark, d))
+    nation = b.table(spark, d, "nation").select(
+        b.graph(), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("path"), (F.col("n_regionkey") == 4).alias("is_test")
+    )
+    imports = materialise(b.import_edge(spark, d))
+    radius = rad.blast_radius(rad.find_target(symbols, "p1"), symbols, sites, imports, nation, b.test_edge(spark, d), seed="importers")
+    return radius.status.drop("graph_id", "target", "status")
+
+
 @query("""SELECT 'p' || p_partkey AS fqn, p_brand AS path,
   row_number() OVER (ORDER BY length(p_brand) - length(replace(p_brand, '/', '')), p_brand, p_partkey) = 1 AS is_target
 FROM part WHERE p_name = 'red widget'""")
@@ -256,21 +283,25 @@ def tree_level(spark, d):
 
 @query(f"""WITH {b.LINE}, found AS (SELECT doc_id, lang || '.d' || doc_id || '.' || source AS fqn FROM documents WHERE source = 'src3'),
 placed AS (SELECT *, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), fqn) AS rn, count(*) OVER () AS total FROM found)
-SELECT p.fqn, p.total, p.total > 5 AS truncated, string_agg(l.text, chr(10) ORDER BY l.line_no) AS source
-FROM placed p JOIN line l ON l.doc_id = p.doc_id AND l.line_no <= 3 WHERE rn <= 5 GROUP BY ALL""")
+SELECT p.fqn, p.total, p.total > 5 AS truncated, string_agg(l.text, chr(10) ORDER BY l.line_no) FILTER (WHERE l.line_no <= 400) AS source, count(*) AS total_lines
+FROM placed p JOIN line l ON l.doc_id = p.doc_id WHERE rn <= 5 GROUP BY ALL""")
 def entity(spark, d):
     symbols = b.table(spark, d, "documents").select(
         b.graph(), F.concat(F.col("lang"), F.lit(".d"), F.col("doc_id").cast("string"), F.lit("."), F.col("source")).alias("fqn"),
-        F.col("source").alias("name"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line_start"), F.lit(3).alias("line_end"),
+        F.col("source").alias("name"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line_start"), F.lit(1_000_000).alias("line_end"),
     )
     lines = b.line(spark, d).select(b.graph(), F.col("doc_id").cast("string").alias("path"), "line_no", "text")
-    return trees.entity(symbols, lines, "src3").select("fqn", "total", "truncated", "source")
+    return trees.entity(symbols, lines, "src3").select("fqn", "total", "truncated", "source", "total_lines")
 
 
-@query(f"""WITH {b.LINE} SELECT doc_id, 2 AS start, max(line_no) AS "end", true AS truncated, string_agg(text, chr(10) ORDER BY line_no) AS text
-FROM line WHERE line_no BETWEEN 2 AND 4 GROUP BY doc_id""")
+@query(f"""WITH {b.LINE}, hit AS (SELECT *, line_no BETWEEN 2 AND 4 AS inside FROM line)
+SELECT doc_id, 2 AS start, max(line_no) FILTER (WHERE inside) AS "end", true AS truncated, true AS found, count(*) AS total_lines,
+  coalesce(string_agg(text, chr(10) ORDER BY line_no) FILTER (WHERE inside), '') AS text FROM hit GROUP BY doc_id
+UNION ALL SELECT -1 - item_id, 2, NULL, true, false, 0, '' FROM benchmark""")
 def read_span(spark, d):
-    spans = b.table(spark, d, "documents").select("doc_id", F.lit(2).alias("start"), F.lit(6).alias("end"))
+    # Benchmark items stand for files that are not there.
+    ids = b.table(spark, d, "documents").select("doc_id").unionByName(b.table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id")))
+    spans = ids.select("doc_id", F.lit(2).alias("start"), F.lit(6).alias("end"))
     return trees.read_span(b.line(spark, d).select("doc_id", "line_no", "text"), spans, ["doc_id"], cap=3)
 
 

@@ -1,8 +1,8 @@
 """Positions, running sums and neighbours inside ordered groups of any size.
 
-A plain window keeps one group in one task. When the largest group is too big for that, the rows
-are range-partitioned by (keys, order), each partition is numbered on its own, and small
-per-partition totals shift the numbers. Both ways give the same result.
+Rows are range-partitioned by (keys, order), each partition is numbered on its own, and small
+per-partition totals shift the numbers. Only a caller whose groups are bounded by what they are, such as
+the lines of one text, asks for a plain window, which keeps a group in one task.
 """
 
 from __future__ import annotations
@@ -15,23 +15,10 @@ from pyspark.sql import functions as F
 
 from impactlens.session import materialise
 
-MAX_GROUP_ROWS = 4_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    sizes = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    return sizes.agg(F.max("count")).first()[0] or 0
-
-
-def _fits(df: DataFrame, keys: list[str], max_group: int | None) -> bool:
-    """None says the caller knows its groups are bounded, e.g. the lines of one text."""
-    return max_group is None or largest_group(df, keys) <= max_group
-
-
 def _join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe join on keys; the right side's copies are renamed first, as both come from one table."""
     renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]) if keys else F.lit(True)
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])
 
 
@@ -40,11 +27,11 @@ def numbered(
     keys: list[str],
     order: list[Column],
     amount: Column | None = None,
-    max_group: int | None = MAX_GROUP_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Adds rn (1-based position), n (rows of the group) and, with an amount, running (sum so far)."""
     df = df.withColumn("_amount", amount if amount is not None else F.lit(0))
-    if _fits(df, keys, max_group):
+    if bounded:
         w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
         upto = w.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         out = df.withColumn("rn", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(
@@ -80,25 +67,27 @@ def numbered(
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[Column], columns: list[str], max_group: int | None = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[Column], columns: list[str], bounded: bool = False
 ) -> DataFrame:
     """Adds prev_<column> from the row before in the group's order."""
-    if _fits(df, keys, max_group):
+    if bounded:
         w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*order)
         return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
-    pinned = materialise(numbered(df, keys, order, max_group=max_group))
+    pinned = materialise(numbered(df, keys, order, bounded=bounded))
     before = pinned.select(*keys, (F.col("rn") + 1).alias("rn"), *[F.col(c).alias(f"prev_{c}") for c in columns])
     return _join_same(pinned, before, [*keys, "rn"], "left").select(*df.columns, *[f"prev_{c}" for c in columns])
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, max_group: int | None = MAX_GROUP_ROWS) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, bounded: bool = False) -> DataFrame:
     """(keys, median): equal values are counted first, then the middle rank is located."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    placed = numbered(counts, keys, [F.col(value)], F.col("copies"), max_group)
-    totals = counts.groupBy(*keys).agg(F.sum("copies").alias("_all"))
+    placed = numbered(counts, keys, [F.col(value)], F.col("copies"), bounded)
+    if keys:
+        joined = _join_same(placed, counts.groupBy(*keys).agg(F.sum("copies").alias("_all")), keys)
+    else:
+        joined = placed.withColumn("_all", F.lit(counts.agg(F.sum("copies")).first()[0]))
     low, high = F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)
     first, last = F.col("running") - F.col("copies") + 1, F.col("running")
-    joined = _join_same(placed, totals, keys)
     parts = F.when((first <= low) & (low <= last), F.col(value)), F.when((first <= high) & (high <= last), F.col(value))
     return joined.groupBy(*keys).agg(((F.max(parts[0]) + F.max(parts[1])) / 2).alias("median"))
 

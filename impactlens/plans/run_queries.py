@@ -187,7 +187,7 @@ PARAMS = """
 param AS (SELECT l_orderkey AS o, 's' || l_suppkey AS name, min(l_linenumber) AS n, bool_or(l_tax < 0.02) AS required, bool_or(l_discount > 0.08) AS kw,
     bool_or(l_returnflag <> 'R') AS b, bool_or(l_returnflag <> 'A') AS a FROM lineitem GROUP BY 1, 2),
 bp AS (SELECT o, name, required, CASE WHEN NOT kw THEN row_number() OVER (PARTITION BY o, kw ORDER BY n, name) - 1 END AS pos FROM param WHERE b),
-ap AS (SELECT o, name, required, CASE WHEN NOT kw THEN row_number() OVER (PARTITION BY o, kw ORDER BY n, name) - 1 END AS pos FROM param WHERE a),
+ap AS (SELECT o, name, required, CASE WHEN NOT kw THEN row_number() OVER (PARTITION BY o, kw ORDER BY n, name) - 1 END AS pos, row_number() OVER (PARTITION BY o, kw ORDER BY n, name) - 1 AS ord FROM param WHERE a),
 star AS (SELECT o_orderkey AS o, o_orderpriority = '5-LOW' AS vararg, o_orderpriority = '1-URGENT' AS kwarg FROM orders)"""
 
 
@@ -234,11 +234,11 @@ def schema_break(spark, d):
    CASE WHEN o_orderstatus = 'F' THEN ['s' || (o_custkey % 10)] ELSE [] END AS keywords FROM orders),
 head AS (SELECT o, count(pos) AS accepts FROM ap GROUP BY o),
 live AS (SELECT c.*, h.accepts, vararg, kwarg FROM call c JOIN head h USING (o) JOIN star USING (o) WHERE NOT removed AND NOT starred),
-hit AS (SELECT o, 0 AS rule, 0 AS place, 'still calls a removed name' AS reason FROM call WHERE removed
-  UNION ALL SELECT o, 1, 0, 'passes ' || n_pos || ' positional argument(s) but the signature accepts ' || accepts FROM live WHERE n_pos > accepts AND NOT vararg
-  UNION ALL SELECT l.o, 2, 0, CASE WHEN ap.pos < n_pos THEN '''' || keywords[1] || ''' is given both positionally and by keyword' ELSE 'unexpected keyword argument ''' || keywords[1] || '''' END
+hit AS (SELECT o, 0 AS rule, 0 AS place, 'calls a name that was removed' AS reason FROM call WHERE removed
+  UNION ALL SELECT o, 1, 0, n_pos || ' arguments by position, ' || accepts || ' taken' FROM live WHERE n_pos > accepts AND NOT vararg
+  UNION ALL SELECT l.o, 2, 0, CASE WHEN ap.pos < n_pos THEN '''' || keywords[1] || ''' bound twice, by position and by name' ELSE 'no parameter is named ''' || keywords[1] || '''' END
     FROM live l LEFT JOIN ap ON ap.o = l.o AND ap.name = l.keywords[1] WHERE len(keywords) > 0 AND (coalesce(ap.pos < n_pos, false) OR (ap.name IS NULL AND NOT kwarg))
-  UNION ALL SELECT l.o, CASE WHEN pos IS NULL THEN 4 ELSE 3 END, coalesce(pos, 0), CASE WHEN pos IS NULL THEN 'missing required keyword-only argument ''' || name || '''' ELSE 'missing required argument ''' || name || '''' END
+  UNION ALL SELECT l.o, CASE WHEN pos IS NULL THEN 4 ELSE 3 END, CASE WHEN pos IS NULL THEN ord ELSE pos END, CASE WHEN pos IS NULL THEN 'keyword-only ''' || name || ''' is not given' ELSE '''' || name || ''' is not given' END
     FROM live l JOIN ap ON ap.o = l.o WHERE required AND (pos IS NULL OR pos >= n_pos) AND NOT list_contains(keywords, name)),
 first AS (SELECT o, reason FROM hit QUALIFY row_number() OVER (PARTITION BY o ORDER BY rule, place, reason) = 1)
 SELECT c.o AS symbol, f.reason FROM call c LEFT JOIN first f ON f.o = c.o""")

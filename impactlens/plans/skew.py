@@ -2,49 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-SALTS = 32
+from impactlens.session import materialise
+
+#: Rows of one key that a task should meet.
+ROWS_PER_TASK = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them. None when there are none."""
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    return None if hot.isEmpty() else hot
+def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(keys, _salts) of the keys with more rows than that, at most rows / rows_per_task of them; written once, so its size is known."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
+    return materialise(counts.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
 
 
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    hot: DataFrame | None,
-    spread: Column,
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join on keys; rows of ``right`` under a hot key are dealt over ``salts`` tasks by ``spread``.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: Column) -> DataFrame:
+    """Inner join on keys; rows of ``right`` under a hot key are dealt by ``spread`` over as many tasks as they need.
 
-    ``left`` must be the smaller side: its rows under hot keys are repeated once per salt, so every
-    match is still found exactly once. Only inner joins keep that promise.
+    ``left`` must be the smaller side: its rows under hot keys are repeated once per salt, so every match is
+    still found exactly once.
     """
-    if hot is None:
-        return left.join(right, keys, how)
-    if how != "inner":
-        raise ValueError("a salted join is an inner join")
-    flag = hot.withColumn("_hot", F.lit(True))
-    salted_right = right.join(flag, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
-    ).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_left = left.join(flag, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+    salts = F.coalesce("_salts", F.lit(1))
+    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    salted_left = left.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"]).drop("_salt")
-
-
-def same_values(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -74,7 +74,7 @@ def norm_path(spark, d):
     return b.table(spark, d, "pages").select("page_id", tx.normalise_path(raw).alias("path"))
 
 
-@query(rf"""SELECT doc_id, rtrim(substr(trim(regexp_replace(text, '{SPACE}', ' ', 'g'), ' '), 1, 400), '{{:( ') AS signature FROM documents""")
+@query(rf"""SELECT doc_id, rtrim(trim(regexp_replace(text, '{SPACE}', ' ', 'g'), ' '), '{{:( ') AS signature FROM documents""")
 def norm_text(spark, d):
     return b.documents(spark, d).select("doc_id", tx.signature_text("text").alias("signature"))
 
@@ -87,9 +87,9 @@ def slug(spark, d):
 TITLE = r"regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
-@query(rf"""WITH t AS (SELECT page_id, url, regexp_replace(substr(trim(regexp_replace(regexp_replace({TITLE}, '[\[\]()<>`|\\@]', '', 'g'), '{SPACE}', ' ', 'g'), ' '), 1, 120), '([*_])', '\\\1', 'g') AS title FROM pages)
+@query(rf"""WITH t AS (SELECT page_id, url, regexp_replace(trim(regexp_replace(regexp_replace({TITLE}, '[\[\]()<>`|\\@]', '', 'g'), '{SPACE}', ' ', 'g'), ' '), '([*_])', '\\\1', 'g') AS title FROM pages)
 SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^\s()<>\[\]`]+$') THEN '[' || CASE WHEN title = '' THEN 'untitled' ELSE title END || '](' || url || ')'
-  ELSE CASE WHEN title = '' THEN 'untitled' ELSE title END || ' (unlinked: not an http(s) URL)' END AS link FROM t""")
+  ELSE CASE WHEN title = '' THEN 'untitled' ELSE title END || ' [no http(s) address]' END AS link FROM t""")
 def safe_link(spark, d):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     return b.table(spark, d, "pages").select("page_id", tx.safe_link(title, "url").alias("link"))
@@ -125,10 +125,10 @@ def rare_hosts(spark, d):
 
 # ----------------------------------------------------------------- findings --
 
-ASSIGN = r"""(?i)(?:^|[^\p{L}\p{N}_])(password|passwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth)[\t-\r\p{Z}]*[:=][\t-\r\p{Z}]*(?:''([^''"]{8,})''|"([^''"]{8,})")"""
+ASSIGN = sec.ASSIGNMENT.replace("'", "''")
 PLACEHOLDERS = ", ".join(f"'{p}'" for p in sec.PLACEHOLDERS)
 SHAPED = " UNION ALL ".join(
-    f"SELECT doc_id, lang, source, line_no, '{rule}' AS rule, 'a credential literal appears in source' AS message, text FROM line WHERE regexp_matches(text, '{shape}')"
+    f"SELECT doc_id, lang, source, line_no, '{rule}' AS rule, '{sec.SHAPED_MESSAGE}' AS message, text FROM line WHERE regexp_matches(text, '{shape}')"
     for rule, shape in sec.TOKEN_SHAPES
 )
 SECRET = rf"""{b.LINE},
@@ -139,7 +139,7 @@ entropy AS (SELECT value, -sum(p * log2(p)) AS bits FROM share GROUP BY value),
 secret AS (
   {SHAPED}
   UNION ALL
-  SELECT doc_id, lang, source, line_no, 'secret.hardcoded_credential', 'high-entropy literal assigned to ''' || key || '''', text FROM assigned JOIN entropy USING (value)
+  SELECT doc_id, lang, source, line_no, 'secret.hardcoded_credential', '{sec.ASSIGNED_MESSAGE}' || key, text FROM assigned JOIN entropy USING (value)
   WHERE round(bits, 9) >= 3.0 AND lower(trim(value)) NOT IN ({PLACEHOLDERS}) AND NOT (value LIKE '%{{%' AND value LIKE '%}}%') AND NOT regexp_matches(lower(trim(value)), '^[a-z_]+$')
 )"""
 SNIPPET = r"regexp_replace(regexp_replace(text, '^[\t-\r\x{85}\p{Z}]+', ''), '[\t-\r\x{85}\p{Z}]+$', '')"
@@ -243,7 +243,7 @@ isl AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER
 SELECT doc_id, min(line) AS first, max(line) AS last FROM isl GROUP BY doc_id, g""")
 def line_runs(spark, d):
     changed = _delta(spark, d).filter(F.col("side") == "after")
-    return sampling.line_runs(changed, ["doc_id"], max_group=None)
+    return sampling.line_runs(changed, ["doc_id"], bounded=True)
 
 
 @query("""WITH g AS (SELECT lang, source FROM documents GROUP BY 1, 2),
@@ -258,7 +258,7 @@ def quotas(spark, d):
 SELECT doc_id, line_no FROM p WHERE n <= 5 OR len(list_filter(range(5), lambda i: round_even(i * (n - 1) / 4.0, 0) = spot)) > 0""")
 def even_sample(spark, d):
     lines = b.line(spark, d).select("doc_id", "line_no")
-    return sampling.even_sample(lines, ["doc_id"], [F.col("line_no")], 5, max_group=None)
+    return sampling.even_sample(lines, ["doc_id"], [F.col("line_no")], 5, bounded=True)
 
 
 @query(f"""WITH {DELTA}, chg AS (SELECT DISTINCT doc_id, line FROM delta WHERE side = 'before'), site AS (SELECT doc_id, line_no AS line FROM line WHERE regexp_matches(text, 'the'))
@@ -336,7 +336,7 @@ def doc_freq(spark, d):
 
 @query(rf"""WITH tok AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM documents),
-vocab AS (SELECT term, ln(n / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n WHERE df > 1 AND df < greatest(2, n * 0.8) ORDER BY term LIMIT 8000),
+vocab AS (SELECT term, ln(n / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n WHERE df > 1 AND df < greatest(2, n * 0.8)),
 w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN vocab USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
 qt AS (SELECT item_id, unnest({WORDS}) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) * any_value(idf) AS qw FROM qt JOIN vocab USING (term) GROUP BY 1, 2),
 qn AS (SELECT item_id, sqrt(sum(qw * qw)) AS qnorm FROM q GROUP BY 1),
@@ -348,10 +348,27 @@ def tfidf_topk(spark, d):
     return search.similar_docs(docs, asked, "doc_id", "item_id", k=2)
 
 
+@query(rf"""WITH tok AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+n AS (SELECT count(*) AS n FROM documents),
+vocab AS (SELECT term, ln(n / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n WHERE df > 1 AND df < greatest(2, n * 0.8)),
+w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN vocab USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
+dot AS (SELECT q.doc_id AS query_id, w.doc_id, sum(w.w * q.w) AS dot FROM w q JOIN w USING (term) WHERE q.doc_id % 20 = 0 AND q.doc_id <> w.doc_id GROUP BY 1, 2),
+score AS (SELECT qn.doc_id AS query_id, d.doc_id, round(coalesce(dot / (dn.norm * qn.norm), 0), 6) AS score FROM dn qn CROSS JOIN documents d LEFT JOIN dn ON dn.doc_id = d.doc_id
+  LEFT JOIN dot ON dot.query_id = qn.doc_id AND dot.doc_id = d.doc_id WHERE qn.doc_id % 20 = 0 AND qn.doc_id <> d.doc_id)
+SELECT query_id, doc_id, score FROM score QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 2""")
+def tfidf_exclude(spark, d):
+    docs = b.documents(spark, d).select("doc_id", "text")
+    # The stated query set: every id divisible by 20, each against all other documents.
+    asked = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text", F.col("doc_id").alias("own"))
+    return search.similar_docs(docs, asked, "doc_id", "query_id", k=2, exclude="own")
+
+
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
-score AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_sum(list_transform(list_zip(q.e, n.e), lambda z: z[1] * z[2])) / (q.norm * n.norm), 6) AS score FROM n q, n)
+score AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_sum(list_transform(list_zip(q.e, n.e), lambda z: z[1] * z[2])) / (q.norm * n.norm), 6) AS score FROM n q, n WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, score FROM score QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 3""")
 def vector_topk(spark, d):
     vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
-    return search.similar_vectors(vectors, vectors.withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", k=3)
+    # The stated query set: every id divisible by 20, each against all vectors.
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id")
+    return search.similar_vectors(vectors, asked, "vec_id", "query_id", k=3)

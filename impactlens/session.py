@@ -47,16 +47,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Cut the lineage with a written table; survives lost executors and carries real sizes."""
+def store(df: DataFrame, *partition_by: str) -> str:
+    """Writes a table of its own to the shared folder and returns its full path; ``clear_scratch`` deletes it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/impactlens-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    named = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/impactlens-{uuid.uuid4().hex}")
+    path = named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Cut the lineage with a written table; survives lost executors and carries real sizes."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, *partition_by))
 
 
 def clear_scratch(spark: SparkSession) -> int:
@@ -66,11 +70,3 @@ def clear_scratch(spark: SparkSession) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return len(paths)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a scan over the cores when its files give it fewer tasks than that; a large scan is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, *keys)
