@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactlens.llm.shared import same, whole
+from impactlens.llm.shared import boxed, same, unboxed, whole
 from impactlens.session import materialise
 
 SLOTS = 4
@@ -205,10 +205,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = exact_groups(docs, id_col, text_col).filter("group_size > 1")
     # A row goes if its text has a kept row of another id; repeated rows of the kept id are made one.
     fates = groups.groupBy("doc_id", "text_sha256").agg(F.max(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    fates = materialise(fates.filter("_kept = 0 OR _rows > 1").withColumnRenamed("doc_id", id_col))
-    marked = docs.withColumn("text_sha256_", F.sha2(whole(text_col), 256))
-    gone = fates.select(id_col, F.col("text_sha256").alias("text_sha256_"))
-    rest = same(marked, gone, [id_col, "text_sha256_"], "left_anti")
-    again = fates.filter("_kept = 1").select(id_col, F.col("text_sha256").alias("text_sha256_"))
-    repeated = same(marked, again, [id_col, "text_sha256_"], "left_semi").dropDuplicates([id_col, "text_sha256_"])
-    return rest.unionByName(repeated).select(*docs.columns)
+    fates = materialise(fates.filter("_kept = 0 OR _rows > 1"))
+    marked = boxed(docs, doc_id=F.col(id_col), text_sha256=F.sha2(whole(text_col), 256))
+    key = ["doc_id", "text_sha256"]
+    rest = same(marked, fates.select(*key), key, "left_anti")
+    repeated = same(marked, fates.filter("_kept = 1").select(*key), key, "left_semi").dropDuplicates(key)
+    return unboxed(rest.unionByName(repeated))

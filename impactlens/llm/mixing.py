@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactlens.llm.shared import running, same, whole
+from impactlens.llm.shared import boxed, running, same, unboxed, whole
 from impactlens.session import materialise
 
 #: A word is a run of anything but these white-space characters.
@@ -99,6 +99,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     chosen = mix(docs, **options).withColumn("_whole", ((F.col("words") > 0) & (2 * F.col("words") >= F.col("size"))).cast("int"))
     per = chosen.groupBy("doc_id", "size").agg(F.sum("_whole").alias("_copies"), F.sum((F.col("pass") == 0).cast("int")).alias("_rows"))
     per = per.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.round(F.col("_copies") / F.col("_rows")).cast("int").alias("_times")).filter("_times > 0")
-    sized = docs.withColumn("_size_here", word_count(whole(text_col)))
-    joined = sized.join(per, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_size_here") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    sized = boxed(docs, _here=F.col(id_col), _size_here=word_count(whole(text_col)))
+    joined = sized.join(per, F.col("_here").eqNullSafe(F.col("_id")) & (F.col("_size_here") == F.col("_size")))
+    return unboxed(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))

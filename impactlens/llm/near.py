@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from impactlens.llm.shared import chunks, components, same, whole
+from impactlens.llm.shared import boxed, chunks, components, same, unboxed, whole
 from impactlens.llm.words import mix64, shingles
 from impactlens.session import materialise
 
@@ -183,5 +183,5 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents whose row is kept; columns as they came."""
     id_col = options.get("id_col", "doc_id")
-    gone = near_classes(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return same(docs, materialise(gone), [id_col], "left_anti").select(*docs.columns)
+    gone = near_classes(docs, **options).filter(~F.col("kept")).select("doc_id").distinct()
+    return unboxed(same(boxed(docs, doc_id=F.col(id_col)), materialise(gone), ["doc_id"], "left_anti"))

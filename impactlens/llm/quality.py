@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactlens.llm.shared import chunks, whole
+from impactlens.llm.shared import boxed, chunks, unboxed, whole
 from impactlens.llm.words import words
 from impactlens.session import materialise
 
@@ -116,15 +116,20 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3,
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, pairs: int = PAIRS, seed: int = 5) -> Ranker | None:
     """Learns from at most ``sample`` labelled documents outside the held-out fifth; None where a label is missing altogether.
 
-    The sample is the half of each label with the smallest hashes of the id, so it is the same on every run.
+    Of each label an even share is drawn by the hash of the id, so the sample is the same on every run; its size is ``sample``
+    up to the chance of that draw.
     """
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(
+    usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(
         F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id"))
     )
-    drawn = [usable.filter(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for y in (0, 1)]
-    chosen = materialise(drawn[0].unionByName(drawn[1]))
-    rows = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("text"))
-    # At most ``sample`` ids.
+    usable = materialise(usable.distinct())
+    count = {r[0]: r[1] for r in usable.groupBy("_label").agg(F.count(F.lit(1))).collect()}
+    if len(count) < 2:
+        return None
+    share = F.when(F.col("_label") == 1, sample / 2 / count[1]).otherwise(sample / 2 / count[0])
+    chosen = materialise(usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20)))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole(text_col).alias("text"))
+    # About ``sample`` ids, whatever the size of the corpus.
     texts = rows.join(F.broadcast(chosen), "_id").select("_label", "_id", "text")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +185,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ranker = train(docs, labels, id_col, text_col, label_col, **options)
     raw = materialise(scored(docs.select(F.col(id_col), F.col(text_col)), ranker, text_col).select(F.col(id_col), "_raw"))
     cut = cut_score(raw, labels, id_col, label_col) if ranker else 0.0
-    score = probability(F.col("_raw"), cut)
+    score = probability(F.col("_raw"), cut) if ranker else F.lit(CUT)
     return raw.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
 
 
@@ -191,4 +196,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return docs
     raw = materialise(scored(docs.select(F.col(id_col), F.col(text_col)), ranker, text_col).select(F.col(id_col), "_raw"))
     cut = cut_score(raw, labels, id_col, label_col)
-    return scored(docs, ranker, text_col, "_raw_score").filter(probability(F.col("_raw_score"), cut) >= CUT).select(*docs.columns)
+    rows = scored(boxed(docs, _text=F.col(text_col)), ranker, "_text")
+    return unboxed(rows.filter(probability(F.col("_raw"), cut) >= CUT))

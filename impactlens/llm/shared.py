@@ -21,6 +21,15 @@ def whole(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def boxed(docs: DataFrame, **named: Column) -> DataFrame:
+    """Whole rows as one column ``_row`` beside the named ones, so that no column of the input can clash; ``unboxed`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in named.items()])
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join that keeps the left side's columns and adds the right side's others."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])

@@ -32,9 +32,10 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def dictionary(pages: DataFrame, id_col: str, payload: Column) -> bytes:
-    """A dictionary trained on the pages with the smallest hashes; empty when they are too few to train on."""
-    drawn = pages.select(F.substring(payload, 1, SAMPLE_BYTES).alias("p"), F.xxhash64(id_col).alias("h")).orderBy("h", "p").limit(SAMPLE_PAGES).collect()
-    samples = [r.p.encode("utf-8", "surrogatepass") for r in drawn if r.p]
+    """A dictionary trained on pages drawn by the hash of their ids; empty when they are too few to train on."""
+    share = SAMPLE_PAGES / max(1, pages.count())
+    drawn = pages.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)).select(F.substring(payload, 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE_PAGES).collect()
+    samples = sorted(r.p.encode("utf-8", "surrogatepass") for r in drawn if r.p)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
