@@ -50,10 +50,10 @@ class Templates:
         self.index: dict[str, list[int]] = {}
         for number, (label, text) in enumerate(templates):
             tokens = sorted(set(words_of(text)), key=lambda w: (frequency.get(w, 0), w))
-            need = max(1, -int(-threshold * len(tokens) // 1)) if tokens else 1
-            while need < len(tokens) and need / len(tokens) < threshold:
-                need += 1
+            need = next((n for n in range(1, len(tokens)) if n / len(tokens) >= threshold), len(tokens))
             self.sets.append((label, tokens, need))
+            if not tokens:
+                continue
             for token in tokens[: len(tokens) - need + 1]:
                 self.index.setdefault(token, []).append(number)
 
@@ -85,7 +85,8 @@ def token_counts(docs: DataFrame, text_col: str, templates=TEMPLATES) -> dict[st
                 for block in blocks(text):
                     for token in wanted.intersection(words_of(block)):
                         total[token] = total.get(token, 0) + 1
-        yield pd.DataFrame({"token": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"token": list(total), "n": list(total.values())})
 
     parts = docs.select(whole(text_col).alias("text")).mapInPandas(count, "token STRING, n LONG")
     return {r.token: r.n for r in parts.groupBy("token").agg(F.sum("n").alias("n")).collect()}

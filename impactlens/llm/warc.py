@@ -105,7 +105,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         if out is not None:
             out.close()
             done.append((file, records))
-        yield pd.DataFrame(done, columns=["file", "records"])
+        if done:
+            yield pd.DataFrame(done, columns=["file", "records"])
 
     store, base = fs.FileSystem.from_uri(path)
     store.create_dir(base, recursive=True)
