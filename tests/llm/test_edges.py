@@ -157,7 +157,7 @@ def test_licenses(docs, nothing):
     rows = licenses.scan(docs).collect()
     assert len(rows) == len(ROWS) and licenses.scan(nothing).count() == 0
     hit = next(r for r in rows if r.doc_id == 9)
-    assert (hit.n_base, hit.first_word, hit.last_word, hit.base_labels, hit.score, hit.matched_blocks) == (2, 3, 7, "apache,mit", 1.0, 1)
+    assert (hit.n_base, hit.first_word, hit.last_word, hit.base_labels, hit.score, hit.matched_blocks) == (2, 3, 8, "apache,mit", 1.0, 1)
     assert all(r.labels == "" and r.score == 0 for r in rows if r.doc_id != 9)
 
 
