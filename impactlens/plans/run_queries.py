@@ -9,7 +9,7 @@ from impactlens.functions import codes
 from impactlens.operators import checks, cleanup, interface, ledger as led, outcome as out, score, timeline
 from impactlens.operators import radius as rad
 from impactlens.plans import bindings as b
-from impactlens.plans.registry import query
+from impactlens.plans.registry import ORACLES, query
 from impactlens.session import materialise
 from impactlens.sources.events import events_since
 
@@ -646,19 +646,53 @@ def provenance(spark, d):
 def _evidence(spark, d):
     artifacts = b.table(spark, d, "lineitem").select(
         b.tag("o", "l_orderkey").alias("job_id"), b.tag("d", "l_suppkey").alias("artifact_id"), F.lit("diff").alias("kind"),
-        b.tag("patches/", "l_suppkey").alias("path"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"),
+        b.tag("patches/", "l_suppkey").alias("path"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"), (F.col("l_linenumber") % 2 == 0).alias("present"),
     )
-    return out.evidence(b.run_job(spark, d), b.run_task(spark, d), _attempts(spark, d), artifacts, _signals(spark, d))
+    kind = F.when(F.col("kind") == "click", "grounding.searched").when(F.col("kind") == "view", "grounding.skipped").otherwise(F.col("kind"))
+    events = b.event(spark, d).withColumn("kind", kind)
+    return out.evidence(b.run_job(spark, d), b.run_task(spark, d), _attempts(spark, d), artifacts, _signals(spark, d), events, _calls(spark, d))
+
+
+#: The fields of each section that the query reads back from the documents.
+FACTS = {
+    "job": ("state", "goal", "stop_reason", "pr_url"), "provenance": ("provenance.sandbox", "provenance.inference"), "tunables": ("tunables",), "repeat": ("repo_url", "goal"),
+    "outcome": ("outcome", "cause", "headline"), "gates": ("strength", "integration"), "usage": ("attempts", "prompt_tokens", "completion_tokens", "tokens_spent"),
+    "task": ("seq", "target_file", "state", "discard_reason"), "attempt": ("attempt_id", "n", "verdict", "prompt_tokens"), "artifact": ("artifact_id", "path", "present"),
+    "ledger": ("role", "tier", "model", "calls", "billed_tokens"), "grounding": ("seq", "kind", "record"),
+}
+
+
+@query(f"""WITH {SIGNAL}, {ATTEMPT}, {b.CALL}, {b.EVENT}, verdict AS ({ORACLES["outcome"]}), spend AS (SELECT job_id, count(*) AS n, sum(prompt)::BIGINT AS p, sum(completion)::BIGINT AS c FROM attempt GROUP BY 1)
+SELECT job_id, 'job' AS section, concat_ws('|', state, goal, stop_reason, pr_url) AS facts FROM job
+UNION ALL SELECT job_id, 'provenance', CASE o_orderpriority WHEN '3-MEDIUM' THEN 'live|live' WHEN '4-NOT SPECIFIED' THEN 'local|live' ELSE 'unknown|unknown' END FROM job
+UNION ALL SELECT job_id, 'tunables', coalesce(tunables, '') FROM job UNION ALL SELECT job_id, 'repeat', 'https://forge.example/repo|' || goal FROM job
+UNION ALL SELECT job_id, 'outcome', concat_ws('|', outcome, cause, headline) FROM verdict
+UNION ALL SELECT job_id, 'gates', CASE WHEN weak THEN '{{"below_floor": true, "detected": 1, "survived": 7, "score": 0.125, "floor": 0.6}}' ELSE 'not json' END || '|' ||
+  CASE WHEN apart THEN '{{"pass": false, "failing": ["t::a", "t::b"]}}' ELSE '{{"pass": true}}' END FROM signal
+UNION ALL SELECT s.job_id, 'usage', concat_ws('|', n, p, c, tokens_spent) FROM spend s JOIN job j ON j.job_id = s.job_id
+UNION ALL SELECT job_id, 'task', concat_ws('|', seq, target_file, state, discard_reason) FROM task
+UNION ALL SELECT 'o' || l_orderkey, 'attempt', concat_ws('|', 'o' || l_orderkey || '-' || l_linenumber || '-s' || l_suppkey || '-p' || l_partkey, l_linenumber,
+  CASE WHEN l_returnflag = 'A' THEN 'ok' WHEN l_returnflag = 'R' THEN 'red' WHEN l_linestatus = 'F' THEN 'infrastructure' END, CAST(l_quantity AS BIGINT)) FROM lineitem
+UNION ALL SELECT 'o' || l_orderkey, 'artifact', concat_ws('|', 'd' || l_suppkey, 'patches/' || l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END) FROM lineitem
+UNION ALL SELECT job_id, 'ledger', concat_ws('|', role, tier, model, count(*), sum(billed_tokens)::BIGINT) FROM call GROUP BY job_id, role, tier, model
+UNION ALL SELECT job_id, 'grounding', concat_ws('|', seq, CASE kind WHEN 'click' THEN 'searched' ELSE 'skipped' END, payload) FROM event WHERE kind IN ('click', 'view')""")
+def evidence(spark, d):
+    facts = F.coalesce(*[
+        F.when(F.col("section") == name, F.concat_ws("|", *[F.get_json_object("document", f"$.{f}") for f in fields])) for name, fields in FACTS.items()
+    ])
+    return _evidence(spark, d).select("job_id", "section", facts.alias("facts"))
 
 
-@query()
-def evidence(spark, d):
-    return _evidence(spark, d)
+@query(f"""WITH {b.EVENT} SELECT job_id, seq, CASE kind WHEN 'click' THEN 'searched' ELSE 'skipped' END AS kind, payload AS record FROM event WHERE kind IN ('click', 'view')""")
+def grounding_rows(spark, d):
+    kind = F.when(F.col("kind") == "click", "grounding.searched").when(F.col("kind") == "view", "grounding.skipped").otherwise(F.col("kind"))
+    return led.grounding_events(b.event(spark, d).withColumn("kind", kind))
 
 
 @query("""WITH j AS (SELECT o_orderkey FROM orders), l AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS t FROM lineitem GROUP BY 1)
-SELECT 'o' || o_orderkey AS job_id, unnest(['job', 'provenance', 'outcome', 'gates']) AS section, 1 AS items FROM j
+SELECT 'o' || o_orderkey AS job_id, unnest(['job', 'provenance', 'tunables', 'repeat', 'outcome', 'gates']) AS section, 1 AS items FROM j
 UNION ALL SELECT 'o' || l_orderkey, 'usage', 1 FROM l UNION ALL SELECT 'o' || l_orderkey, 'task', t FROM l
 UNION ALL SELECT 'o' || l_orderkey, unnest(['attempt', 'artifact']), n FROM l""")
 def evidence_sections(spark, d):
-    return _evidence(spark, d).groupBy("job_id", "section").agg(F.count("document").alias("items"))
+    rows = _evidence(spark, d).filter(~F.col("section").isin("ledger", "grounding"))
+    return rows.groupBy("job_id", "section").agg(F.count("document").alias("items"))
