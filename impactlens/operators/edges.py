@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,7 +179,7 @@ def consumers(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFra
 
 
 def graph_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row counts per graph of every table, heuristic edges apart, in one row per graph."""
+    """Row counts per graph of every table, heuristic edges and files that did not parse apart, in one row per graph that any table has."""
     n = F.count(F.lit(1))
     parts = [
         tables["file"].groupBy("graph_id").agg(n.alias("files")),
@@ -188,10 +190,11 @@ def graph_stats(tables: dict[str, DataFrame]) -> DataFrame:
         ),
         tables["test_edge"].groupBy("graph_id").agg(n.alias("test_edges")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "graph_id", "left")
-    return out.fillna(0)
+    if "parse_error" in tables:
+        parts.append(tables["parse_error"].groupBy("graph_id").agg(F.countDistinct("path").alias("parse_errors")))
+    # Counts side by side, then one sum per graph: no table has to know every graph.
+    total = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return total.groupBy("graph_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in total.columns if c != "graph_id"])
 
 
 def third_party_imports(imports: DataFrame, files: DataFrame, package: Column, inside: DataFrame | None = None) -> DataFrame:
@@ -211,6 +214,18 @@ def third_party_imports(imports: DataFrame, files: DataFrame, package: Column, i
     )
 
 
+def script_versions(manifests: DataFrame, packages: DataFrame) -> DataFrame:
+    """Adds version to packages (graph_id, package): the first number of its entry in a script manifest (graph_id, text), by section order."""
+    # The sections of a manifest, in the order in which they answer.
+    sections = ("dependencies", "devDependencies", "peerDependencies")
+    body = F.from_json("text", ", ".join(f"{s} MAP<STRING, STRING>" for s in sections))
+    entries = manifests.select("graph_id", body.alias("_m")).select("graph_id", F.posexplode(F.array(*[F.col(f"_m.{s}") for s in sections])).alias("section", "_e"))
+    named = entries.select("graph_id", "section", F.explode("_e").alias("package", "spec"))
+    first = named.groupBy("graph_id", "package").agg(F.min_by("spec", "section").alias("spec"))
+    version = F.nullif(F.regexp_extract("spec", r"\d[\w.]*", 0), F.lit(""))
+    return packages.join(first, ["graph_id", "package"], "left").withColumn("version", version).drop("spec")
+
+
 def declared_versions(manifest_lines: DataFrame, packages: DataFrame) -> DataFrame:
     """First pinned or floored version of each package in manifest order (path, line_no)."""
     def canonical(c: Column) -> Column:

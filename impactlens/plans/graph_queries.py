@@ -311,7 +311,8 @@ l AS (SELECT r, l_returnflag, l_linestatus FROM lineitem JOIN o ON l_orderkey =
 SELECT 'r' || r_regionkey AS graph_id, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS files,
  (SELECT count(*) FROM node WHERE r = r_regionkey) AS symbols, (SELECT count(*) FROM o WHERE r = r_regionkey) AS import_edges,
  (SELECT count(*) FROM l WHERE r = r_regionkey) AS call_edges, (SELECT count(*) FROM l WHERE r = r_regionkey AND l_returnflag <> 'N') AS heuristic_edges,
- (SELECT count(*) FROM l WHERE r = r_regionkey AND l_linestatus = 'F') AS test_edges FROM region""")
+ (SELECT count(*) FROM l WHERE r = r_regionkey AND l_linestatus = 'F') AS test_edges,
+ (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 3 = 0) AS parse_errors FROM region""")
 def graph_stats(spark, d):
     nation = b.table(spark, d, "nation").select(F.col("n_nationkey"), b.tag("r", "n_regionkey").alias("graph_id"))
     customer = b.table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "graph_id")
@@ -322,6 +323,7 @@ def graph_stats(spark, d):
     return ed.graph_stats({
         "file": nation, "symbol": customer, "import_edge": orders, "call_edge": lines,
         "test_edge": lines.filter(F.col("l_linestatus") == "F"),
+        "parse_error": nation.filter(F.col("n_nationkey") % 3 == 0).withColumn("path", F.col("n_nationkey")),
     })
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from impactlens.functions import reports, text as tx
-from impactlens.operators import checks, cleanup, edges, ledger, trees
+from impactlens.operators import checks, cleanup, edges, interface, ledger, resolve, trees
 from impactlens.plans import bindings as b
-from impactlens.plans.registry import query
+from impactlens.plans.registry import ORACLES, query
+from impactlens.plans.run_queries import PARAMS, params_of
 from impactlens.sources.tree import file_table
 
 FILE_PATH = """CASE WHEN source = 'src3' THEN 'tests/' ELSE 'src/' END || source || '/d' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' ELSE '.txt' END"""
@@ -176,3 +177,89 @@ def tree_of_file(spark, d):
     symbols = docs.select(b.graph(), path.alias("path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("fqn"), F.lit(1).alias("line_start"), F.col("doc_id").alias("line_end"))
     files = docs.select(b.graph(), path.alias("path")).distinct()
     return trees.tree_level(files, "src/src3/en.txt", symbols=symbols).select("prefix", "name", "kind", "line_start", "line_end")
+
+
+# --------------------------------------------------------------- interfaces --
+
+
+@query(f"""WITH change AS ({ORACLES["schema_break"]}), usage AS (SELECT DISTINCT l_orderkey AS symbol, l_suppkey FROM lineitem),
+per AS (SELECT symbol, count(*) AS consumers, count_if(s_acctbal IS NULL OR s_acctbal <= 0) AS untouched FROM usage LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT c.symbol, c.breaking, coalesce(p.consumers, 0) AS consumers, coalesce(p.untouched, 0) AS untouched, c.breaking AND coalesce(p.untouched, 0) > 0 AS warn FROM change c LEFT JOIN per p ON p.symbol = c.symbol""")
+def interface_users(spark, d):
+    keys = ["graph_id", "symbol"]
+    consumers = b.table(spark, d, "lineitem").select(b.graph(), F.col("l_orderkey").alias("symbol"), b.tag("s", "l_suppkey").alias("consumer"))
+    touched = b.table(spark, d, "supplier").filter(F.col("s_acctbal") > 0).select(b.graph(), b.tag("s", "s_suppkey").alias("path"))
+    changes = interface.interface_changes(params_of(spark, d, "before"), params_of(spark, d, "after"), consumers, touched, keys)
+    return changes.filter(F.col("before").isNotNull() & F.col("after").isNotNull()).select("symbol", "breaking", "consumers", "untouched", "warn")
+
+
+@query(f"""WITH {PARAMS}, change AS ({ORACLES["schema_break"]}), t AS (SELECT o_orderkey AS symbol, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'class' WHEN '2-HIGH' THEN 'method' ELSE 'function' END AS kind, o_custkey % 50 AS file,
+  o_custkey % 7 = 0 AS script, EXISTS (SELECT 1 FROM bp WHERE bp.o = o_orderkey) AS old, EXISTS (SELECT 1 FROM ap WHERE ap.o = o_orderkey) AS new FROM orders)
+SELECT t.symbol, CASE WHEN kind = 'class' THEN 'unchecked kind' WHEN script THEN 'unchecked language' WHEN NOT old OR (file < 30 AND file % 5 = 4) THEN 'uncheckable'
+  WHEN NOT new AND t.symbol % 2 = 0 THEN 'aliased' WHEN NOT new THEN 'removed' WHEN c.symbol IS NULL THEN 'unchanged' WHEN c.breaking THEN 'changed, breaking' ELSE 'changed' END AS status,
+  CASE WHEN kind = 'class' OR script THEN 'warn' WHEN NOT old OR (file < 30 AND file % 5 = 4) THEN 'block' END AS severity FROM t LEFT JOIN change c ON c.symbol = t.symbol""")
+def target_sides(spark, d):
+    file = F.col("o_custkey") % 50
+    path = F.concat(F.lit("f"), file.cast("string"), F.when(F.col("o_custkey") % 7 == 0, ".ts").otherwise(".py"))
+    kind = F.when(F.col("o_orderpriority") == "3-MEDIUM", "class").when(F.col("o_orderpriority") == "2-HIGH", "method").otherwise("function")
+    targets = b.table(spark, d, "orders").select(b.graph(), F.col("o_orderkey").alias("symbol"), kind.alias("kind"), path.alias("path"), file.alias("file"))
+    parsed, touched = targets.filter(F.col("file") % 5 != 4), targets.filter(F.col("file") < 30)
+    named = targets.filter(F.col("symbol") % 2 == 0)
+    return interface.target_sides(
+        targets.drop("file"), params_of(spark, d, "before"), params_of(spark, d, "after"), parsed, named, touched, ["graph_id", "symbol"]
+    ).select("symbol", "status", "severity")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN s_nationkey || '.2' ELSE CAST(s_nationkey AS VARCHAR) END AS version FROM supplier""")
+def script_versions(spark, d):
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    name = b.tag("pkg", "s_suppkey")
+    none = F.create_map().cast("map<string,string>")
+    first = F.when(key % 4 == 1, F.create_map(name, F.concat(F.lit("^"), nation, F.lit(".2")))).otherwise(none)
+    dev = F.when(key % 4 > 0, F.create_map(name, F.concat(F.lit("~"), nation))).otherwise(none)
+    peer = F.when(key % 4 == 0, F.create_map(name, F.lit("*"))).otherwise(none)
+    rows = b.table(spark, d, "supplier").select(name.alias("graph_id"), name.alias("package"), "s_suppkey", F.to_json(F.struct(first.alias("dependencies"), dev.alias("devDependencies"), peer.alias("peerDependencies"))).alias("text"))
+    return edges.script_versions(rows.select("graph_id", "text"), rows.select("graph_id", "package", "s_suppkey")).select("s_suppkey", "version")
+
+
+@query("SELECT l_orderkey, 's' || l_suppkey AS key, l_linenumber AS exit_code FROM lineitem WHERE l_returnflag <> 'A'")
+def exit_codes(spark, d):
+    said = F.when(F.col("l_returnflag") == "A", F.lit("step took 3 s")).otherwise(F.concat(F.lit(" s"), F.col("l_suppkey").cast("string"), F.lit("\t"), F.col("l_linenumber").cast("string"), F.lit(" ")))
+    per = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(said), "\n").alias("text"))
+    return reports.exit_lines(per)
+
+
+# -------------------------------------------------------------- resolution --
+
+
+@query("""WITH own AS (SELECT 'b' || p_brand AS path, p_name AS name, 'p' || max(p_partkey) AS fqn FROM part GROUP BY ALL),
+imp AS (SELECT 'b' || p_brand AS path, p_name AS name, arg_max('x' || p_partkey, p_partkey) AS fqn FROM part WHERE p_size > 45 GROUP BY ALL)
+SELECT own.path, own.name, coalesce(imp.fqn, own.fqn) AS fqn FROM own LEFT JOIN imp ON imp.path = own.path AND imp.name = own.name""")
+def bindings_of_files(spark, d):
+    part = b.table(spark, d, "part").withColumn("path", F.concat(F.lit("b"), F.col("p_brand")))
+    symbols = part.select(b.graph(), "path", F.col("p_name").alias("name"), b.tag("p", "p_partkey").alias("fqn"), F.col("p_partkey").alias("line_start"), F.lit(None).cast("string").alias("parent"))
+    imported = part.filter(F.col("p_size") > 45).select(
+        b.graph(), "path", F.col("p_name").alias("local_name"), b.tag("x", "p_partkey").alias("resolved_symbol"), F.col("p_partkey").alias("ord")
+    )
+    return resolve.local_bindings(symbols, imported).select("path", "name", "fqn")
+
+
+@query("""WITH sym AS (SELECT p_brand AS path, p_name AS name, 'p' || max(p_partkey) AS fqn FROM part GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_suppkey, sym.fqn AS caller FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN sym ON sym.path = p_brand AND sym.name = CASE WHEN l_returnflag = 'A' THEN NULL ELSE p_name END""")
+def callers_attached(spark, d):
+    part = b.table(spark, d, "part")
+    index = part.groupBy("p_brand", "p_name").agg(F.max("p_partkey").alias("k")).select(b.graph(), F.col("p_brand").alias("path"), F.col("p_name").alias("name"), b.tag("p", "k").alias("fqn"))
+    calls = b.table(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select(
+        b.graph(), F.col("p_brand").alias("path"), F.when(F.col("l_returnflag") != "A", F.col("p_name")).alias("enclosing"), "l_orderkey", "l_linenumber", "l_suppkey"
+    )
+    return resolve.attach_caller(calls, index).select("l_orderkey", "l_linenumber", "l_suppkey", "caller")
+
+
+@query("""SELECT DISTINCT 't' || o_custkey AS test_path, 'p' || l_partkey AS symbol, 't' || o_custkey AS nodeid FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+WHERE c_acctbal > 0""")
+def import_tests(spark, d):
+    lines = b.table(spark, d, "lineitem").join(b.table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bindings = lines.select(b.graph(), b.tag("t", "o_custkey").alias("path"), b.tag("p", "l_partkey").alias("fqn")).distinct()
+    files = b.table(spark, d, "customer").select(b.graph(), b.tag("t", "c_custkey").alias("path"), (F.col("c_acctbal") > 0).alias("is_test"))
+    symbols = b.table(spark, d, "part").select(b.graph(), b.tag("p", "p_partkey").alias("fqn"), F.col("p_brand").alias("path"))
+    return edges.import_test_edges(bindings, files, symbols).select("test_path", "symbol", "nodeid")

@@ -191,7 +191,7 @@ ap AS (SELECT o, name, required, CASE WHEN NOT kw THEN row_number() OVER (PARTIT
 star AS (SELECT o_orderkey AS o, o_orderpriority = '5-LOW' AS vararg, o_orderpriority = '1-URGENT' AS kwarg FROM orders)"""
 
 
-def _params(spark, d, side: str):
+def params_of(spark, d, side: str):
     lines = b.table(spark, d, "lineitem").groupBy("l_orderkey", b.tag("s", "l_suppkey").alias("name")).agg(
         F.min("l_linenumber").alias("n"), F.bool_or(F.col("l_tax") < 0.02).alias("required"),
         F.bool_or(F.col("l_discount") > 0.08).alias("kw"), F.bool_or(F.col("l_returnflag") != ("R" if side == "before" else "A")).alias("here"),
@@ -225,7 +225,7 @@ SELECT n.o AS symbol, (lost AND NOT kwarg) OR coalesce(fresh, false) OR coalesce
 FROM names n JOIN star USING (o) WHERE nb > 0 AND na > 0 AND differ""")
 def schema_break(spark, d):
     key = ["graph_id", "symbol"]
-    changes = interface.signature_changes(_params(spark, d, "before"), _params(spark, d, "after"), key)
+    changes = interface.signature_changes(params_of(spark, d, "before"), params_of(spark, d, "after"), key)
     # A star alone is no definition: both sides need their header.
     return changes.filter(F.col("before").isNotNull() & F.col("after").isNotNull() & F.col("changed")).select("symbol", "breaking")
 
@@ -249,7 +249,7 @@ def call_compat(spark, d):
         b.graph(), F.col("o_orderkey").alias("symbol"), F.col("o_orderkey").alias("call_id"), F.floor(F.col("o_totalprice") / 100000).cast("int").alias("n_pos"),
         keywords.alias("keywords"), (F.col("o_orderstatus") == "P").alias("starred"), (F.col("o_custkey") % 10 == 0).alias("removed"),
     )
-    params = _params(spark, d, "after")
+    params = params_of(spark, d, "after")
     defined = params.filter(F.col("kind") == "header").select("graph_id", "symbol")
     known = params.join(defined, ["graph_id", "symbol"], "left_semi")
     return interface.call_compat(calls, known, ["graph_id", "symbol"]).select("symbol", "reason")
