@@ -28,29 +28,55 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def tree_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, path): every root-to-leaf path of the messages (tree, node, parent), node ids from the root on.
-
-    Each round joins the open paths with themselves and doubles their length, so rounds grow with the logarithm of
-    the depth; only ids travel. A parent that does not exist makes its child a root. Where parents run in a circle, a
-    path starts where it would meet itself again; a circle that nothing else answers has no leaf and so no path.
+def _at(left: str, right: str) -> Column:
+    """Joins on a tree, which may be null, and a node."""
+    return F.col("tree").eqNullSafe(F.col("_t")) & (F.col(left) == F.col(right))
+
+
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (tree, node, up) of the ancestors 1, 2, 4, ... steps up, by self-joins; and, if parents run in circles, where to cut them."""
+    largest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
+    step = materialise(nodes.join(known, _at("parent", "_n")).select("tree", "node", F.col("parent").alias("up"), F.least("node", "parent").alias("low")))
+    out: list[DataFrame] = []
+    while not step.isEmpty():
+        if 2 ** len(out) > largest:
+            # Longer than any tree: what is reached now lies on circles, and each is cut at its smallest node.
+            on_circle = step.select("tree", F.col("up").alias("node")).distinct()
+            return out, on_circle.join(step.filter("node = low").select("tree", "node"), ["tree", "node"], "left_semi")
+        out.append(step.drop("low"))
+        above = step.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("low").alias("_low"))
+        step = materialise(step.join(above, _at("up", "_n")).select("tree", "node", F.col("_up").alias("up"), F.least("low", "_low").alias("low")))
+    return out, None
+
+
+def path_steps(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, place, node): every root-to-leaf path of the messages (tree, node, parent), a row per step, places from 0 at the root.
+
+    Rounds of self-joins double the length of all open paths, so their number grows with the logarithm of the depth; only ids
+    travel, and the rows of all rounds together are those of the result. A parent that does not exist makes its child a root.
+    Parents that run in a circle are cut at its smallest node, which becomes a root. Rows that repeat a node count once.
     """
-    nodes = messages.select("tree", "node", "parent")
-    known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n")).distinct()
-    linked = nodes.join(known, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_n")), "left")
-    paths = materialise(linked.select("tree", "node", F.col("_n").alias("head"), F.array("node").alias("path")))
-    answered = paths.select(F.col("tree").alias("_t"), F.col("head").alias("_n")).filter("_n IS NOT NULL").distinct()
-    paths = paths.join(answered, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left").withColumn("leaf", F.col("_n").isNull()).drop("_t", "_n")
-    paths = materialise(paths)
-    while paths.filter(F.col("head").isNotNull()).limit(1).count():
-        above = paths.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("head").alias("_head"), F.col("path").alias("_path"))
-        joined = paths.join(above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("head") == F.col("_n")), "left")
-        longer = joined.select("tree", "node", "leaf", F.col("_head").alias("head"), F.reverse(F.concat(F.coalesce("_path", F.array().cast("array<bigint>")), "path")).alias("up"))
-        again = F.transform("up", lambda x, i: F.array_position("up", x) <= i)
-        looped = F.size(F.array_distinct("up")) < F.size("up")
-        up = F.when(looped, F.slice("up", F.lit(1), F.array_position(again, True).cast("int") - 1)).otherwise(F.col("up"))
-        paths = materialise(longer.select("tree", "node", "leaf", F.when(~looped, F.col("head")).alias("head"), F.reverse(up).alias("path")))
-    return paths.filter("leaf").select("tree", F.col("node").alias("leaf"), "path")
+    nodes = materialise(messages.groupBy("tree", "node").agg(F.min("parent").alias("parent")))
+    jumps, circle = _jumps(nodes)
+    if circle is not None:
+        cut = circle.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
+        nodes = materialise(nodes.join(cut, _at("node", "_n"), "left").select("tree", "node", F.when(F.col("_n").isNull(), F.col("parent")).alias("parent")))
+        jumps, _ = _jumps(nodes)
+    answered = nodes.select(F.col("tree").alias("_t"), F.col("parent").alias("_n")).filter("_n IS NOT NULL").distinct()
+    rows = nodes.join(answered, _at("node", "_n"), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        higher = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
+        further = rows.join(higher, _at("node", "_n")).select("tree", "leaf", F.col("_up").alias("node"), (F.col("up") + 2**k).alias("up"))
+        rows = materialise(rows.unionByName(further))
+    depth = rows.groupBy(F.col("tree").alias("_t"), F.col("leaf").alias("_l")).agg(F.max("up").alias("_depth"))
+    return rows.join(depth, _at("leaf", "_l")).select("tree", "leaf", (F.col("_depth") - F.col("up")).cast("int").alias("place"), "node")
+
+
+def tree_paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, path): the paths as arrays of nodes."""
+    ordered = F.sort_array(F.collect_list(F.struct("place", "node")))
+    return path_steps(messages).groupBy("tree", "leaf").agg(F.transform(ordered, lambda s: s["node"]).alias("path"))
 
 
 def ranked_paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
@@ -58,17 +84,15 @@ def ranked_paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
 
     ``messages``: (tree, node, parent, role, text, score). Returns (tree, leaf, rank, turns), turns as (place, role, text).
     """
-    paths = tree_paths(messages)
-    steps = paths.select("tree", "leaf", F.posexplode("path").alias("place", "node"))
-    said = messages.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    full = steps.join(said, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
-    if per_tree is not None:
-        means = full.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
-        best = means.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))).filter(F.col("rank") <= per_tree)
-        best = best.select(F.col("tree").alias("_bt"), F.col("leaf").alias("_bl"), "rank")
-        full = full.join(best, F.col("tree").eqNullSafe(F.col("_bt")) & (F.col("leaf") == F.col("_bl")))
-    else:
-        full = full.withColumn("rank", F.lit(None).cast("int"))
+    steps = path_steps(messages)
+    scores = messages.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    means = steps.join(scores, _at("node", "_n")).groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
+    ranked = means.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("mean"), "leaf")))
+    best = ranked if per_tree is None else ranked.filter(F.col("rank") <= per_tree)
+    best = best.select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"), "rank")
+    chosen = steps.join(best, _at("leaf", "_l")).select("tree", "leaf", "rank", "place", "node")
+    said = messages.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text")
+    full = chosen.join(said, _at("node", "_n"))
     # One path is one conversation, the unit of the output.
     return full.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
 
