@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactlens.llm.shared import same, whole
+from impactlens.llm.shared import whole
 from impactlens.session import materialise
 
 #: Lines under the rolling hash, and the share of windows that end a chunk.
@@ -37,38 +37,49 @@ def cut_lines(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _chunks(with_body: bool):
-    names = ["doc_id", "_text", "start", "n", "key", "body"][: 6 if with_body else 5]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for doc, number, text in zip(batch["doc_id"], batch["_text"], batch["text"], strict=True):
-                lines = text.split("\n")
-                for start, n in cut_lines(lines):
-                    if n < 2:
-                        continue
-                    body = "\n".join(lines[start : start + n])
-                    key = xxhash.xxh3_128_digest(body.encode("utf-8", "surrogatepass"))
-                    out.append((doc, number, start, n, key, body)[: len(names)])
-                    held += len(body)
-                if held > 1 << 22:
-                    yield pd.DataFrame(out, columns=names)
-                    out, held = [], 0
-            if out:
-                yield pd.DataFrame(out, columns=names)
+FIELDS = "doc_id LONG, _text LONG, start INT, n INT, key BINARY"
+
+
+def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Place and hash of every chunk of two lines or more."""
+    for batch in batches:
+        out = []
+        for doc, number, text in zip(batch["doc_id"], batch["_text"], batch["text"], strict=True):
+            lines = text.split("\n")
+            for start, n in cut_lines(lines):
+                if n > 1:
+                    out.append((doc, number, start, n, xxhash.xxh3_128_digest("\n".join(lines[start : start + n]).encode("utf-8", "surrogatepass"))))
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "_text", "start", "n", "key"])
 
-    return run
+
+def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The chunks of a text whose hash repeats, with their bytes."""
+    names = ["doc_id", "_text", "start", "n", "key", "body"]
+    for batch in batches:
+        out, held = [], 0
+        for doc, number, text, spans in zip(batch["doc_id"], batch["_text"], batch["text"], batch["spans"], strict=True):
+            lines = text.split("\n")
+            for s in spans:
+                body = "\n".join(lines[s["start"] : s["start"] + s["n"]])
+                out.append((doc, number, s["start"], s["n"], s["key"], body))
+                held += len(body)
+            if held > 1 << 22:
+                yield pd.DataFrame(out, columns=names)
+                out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
 
 def _drop_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, n_lines, cut = [], [], []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
+        for text, spans, undo in zip(batch["text"], batch["spans"], batch["undo"], strict=True):
             lines = text.split("\n")
+            stay = set(undo) if undo is not None else ()
+            later = [s for s in spans if s["later"] and s["start"] not in stay] if spans is not None else []
+            gone = {i for s in later for i in range(s["start"], s["start"] + s["n"])}
             n_lines.append(len(lines))
-            gone = {i for s in (spans if spans is not None else ()) for i in range(s["start"], s["start"] + s["n"])}
             cut.append(len(gone))
             texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
         yield batch[["_id"]].assign(text=texts, n_lines=n_lines, removed_lines=cut)
@@ -77,22 +88,26 @@ def _drop_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, removed_lines): texts without the chunks of two lines or more that came before.
 
-    Chunks whose hash repeats anywhere are read again and compared byte by byte; of equal ones the first in the order of
-    (id, text, line) stays, null ids last. Null texts are empty and have one empty line. Rows with the same id and the same
-    text are treated alike, so both keep what the first of them keeps.
+    Of chunks with one hash the first in the order of (id, text, line) stays, null ids last. Each text is shuffled once, to
+    meet the places of its repeated chunks; their bytes are then compared, and a chunk that only shares a hash is put back. Null texts are
+    empty and have one empty line. Rows with the same id and text are treated alike, so both keep what the first of them keeps.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("_text", F.xxhash64("text"))
+    last = F.lit(2**63 - 1)
+    text = whole(text_col)
     # Null ids travel as the largest number: pandas has no null among whole numbers.
-    given = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "_text", "text")
-    fields = "doc_id LONG, _text LONG, start INT, n INT, key BINARY"
-    found = given.mapInPandas(_chunks(False), fields).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    repeated = materialise(found.filter("c > 1").select("key"))
-    bodies = materialise(given.mapInPandas(_chunks(True), f"{fields}, body STRING").join(repeated, "key", "left_semi"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.xxhash64(text).alias("_text"), text.alias("text"))
+    found = materialise(rows.mapInPandas(_found, FIELDS))
+    place = F.struct("doc_id", "_text", "start")
+    first = materialise(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "first"))
+    repeated = found.join(first, "key").withColumn("later", place != F.col("first"))
+    spans = repeated.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("start", "n", "key", "later")).alias("spans"))
+    # Always merged, so that the plan does not change with the size of the spans.
+    joined = materialise(rows.join(spans.hint("merge"), ["doc_id", "_text"], "left"))
+    bodies = joined.filter(F.col("spans").isNotNull()).mapInPandas(_bodies, f"{FIELDS}, body STRING")
     # Grouping by the body itself compares the bytes; a common chunk meets as one row per task.
-    first = bodies.groupBy("key", "body").agg(F.min(F.struct("doc_id", "_text", "start")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    later = bodies.join(first, ["key", "body"]).filter(F.struct("doc_id", "_text", "start") != F.col("first")).select("doc_id", "_text", "start", "n").distinct()
-    spans = later.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    spans = spans.select(F.nullif("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "_text", "spans")
-    joined = same(rows, spans, ["doc_id", "_text"]).drop("_text")
-    cut = joined.select("text", "spans", F.struct("doc_id").alias("_id"))
-    return cut.mapInPandas(_drop_lines, "_id STRUCT<doc_id: LONG>, text STRING, n_lines INT, removed_lines INT").select("_id.doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("removed_lines").cast("long").alias("removed_lines"))
+    groups = bodies.groupBy("key", "body").agg(F.min(place).alias("own")).select("key", "own")
+    undo = groups.join(first, "key").filter("own <> first").groupBy("own.doc_id", "own._text").agg(F.collect_list("own.start").alias("undo"))
+    undo = materialise(undo.toDF("doc_id", "_text", "undo"))
+    cut = joined.join(undo, ["doc_id", "_text"], "left").select(F.struct(F.nullif("doc_id", last).alias("doc_id")).alias("_id"), "text", "spans", "undo")
+    done = cut.mapInPandas(_drop_lines, "_id STRUCT<doc_id: LONG>, text STRING, n_lines LONG, removed_lines LONG")
+    return done.select("_id.doc_id", "text", "n_lines", "removed_lines")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+from impactlens.llm import licenses, lines
 from impactlens.llm.queries import ORACLES, QUERIES
 from tests.llm import plain
 from tests.oracle import compare
@@ -77,9 +78,34 @@ def test_sql_twins(spark, name):
     assert compare(spark, name, QUERIES[name], ORACLES[name], SF)["ok"]
 
 
+def test_repeated_lines(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = sorted(table(spark, "documents", "doc_id", "text", sf=sf))
+    first, count = {}, Counter()
+    for doc, text in docs:
+        rows = text.split("\n")
+        for start, n in lines.cut_lines(rows):
+            body = "\n".join(rows[start : start + n])
+            first.setdefault(body, (doc, start))
+            count[body] += n > 1
+    want = {}
+    for doc, text in docs:
+        rows, gone = text.split("\n"), set()
+        for start, n in lines.cut_lines(rows):
+            if n > 1 and first["\n".join(rows[start : start + n])] != (doc, start):
+                gone.update(range(start, start + n))
+        want[doc] = len(rows), len(gone), plain.sha("\n".join(x for i, x in enumerate(rows) if i not in gone))
+    got = {r.doc_id: (r.n_lines, r.removed_lines, r.text_sha256) for r in QUERIES["op3_lines"](spark, sf).collect()}
+    assert got == want and max(count.values()) > 1
+
+
 def test_licenses(spark):
     docs = dict(table(spark, "documents", "doc_id", "text", sf="/root/testdata/sf0.01"))
+    sets = [(label, set(licenses.words_of(text))) for label, text in licenses.TEMPLATES]
     for r in QUERIES["op7_licenses"](spark, "/root/testdata/sf0.01").collect():
+        have = [set(licenses.words_of(line)) for line in docs[r.doc_id].split("\n")]
+        more = {label for label, tokens in sets if any(len(tokens & h) >= 0.8 * len(tokens) for h in have)}
+        assert set(filter(None, r.labels.split(","))) == more | set(filter(None, r.base_labels.split(",")))
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain.licenses(docs[r.doc_id])
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
