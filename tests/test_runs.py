@@ -230,7 +230,7 @@ def test_evidence_keeps_every_section_as_rows(spark):
     artifacts = frame(spark, "job_id STRING, artifact_id STRING, kind STRING, path STRING, sha256 STRING", ("j", "x", "diff", "p", "h"))
     signals = spark.createDataFrame([signal("Done", pr="u", counts=(1, 0, 0))], SIGNALS)
     got = outcome.evidence(jobs, tasks, attempts, artifacts, signals).collect()
-    assert sorted(r.section for r in got) == ["artifact", "attempt", "gates", "job", "outcome", "provenance", "task", "task", "usage"]
+    assert sorted(r.section for r in got) == ["artifact", "attempt", "gates", "job", "outcome", "provenance", "repeat", "task", "task", "tunables", "usage"]
     assert '"outcome":"VERIFIED"' in next(r.document for r in got if r.section == "outcome")
 
 
