@@ -101,6 +101,14 @@ def _similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
 
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts, numbers = batch["text"].tolist(), batch["number"].to_numpy()
+        for a, b in chunks(texts):
+            text, element, _ = shingles(texts[a:b])
+            yield pd.DataFrame({"number": numbers[a:b][text], "shingle": element.view(np.int64)})
+
+
 def node_of(text: Column) -> Column:
     """A text's identity: 128 bits of its SHA-256."""
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
@@ -116,13 +124,14 @@ def _ordered(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, pivot_rounds: int = 2) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_size, class_texts, kept): classes of documents chained by similarities of ``threshold`` or more.
 
     Equal texts count once. Bands propose; the Jaccard similarity of the sets of five-word shingles decides. In each band
-    bucket all texts are first compared with one drawn text, in every band another, which finds the class of nearly all
-    with a number of pairs that grows with the texts. What is then still apart from the largest class of a bucket is compared
-    with all of that bucket whose length allows the threshold, so no link between different classes is lost.
+    bucket all texts are first compared with one drawn text, in every band another, and then with the one in the middle, which finds the
+    class of nearly all with a number of pairs that grows with the texts. What is still apart from the largest class of a bucket is
+    compared with all of that bucket, unless the shingles that a text shares with no other rule the threshold out, so no link between different
+    classes is lost.
 
     ``class_id`` is the smallest id of a class and ``kept`` marks the row with it (repeated rows of that id and text: each). Null ids
     come last. Null and empty texts, and texts without words, have no shingles and are near only to equal texts.
@@ -135,34 +144,49 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = materialise(placed.join(crowded, "bucket", "left_semi"))
     wanted = members.select("node").distinct()
-    texts = materialise(rows.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-
-    checked, links, found = None, None, None
-    open_members = members
-    for turn in range(pivot_rounds):
-        drawn = F.struct(F.xxhash64("node", "bucket", F.lit(turn)), F.col("node"))
-        pivots = open_members.groupBy("bucket").agg(F.min_by("node", drawn).alias("pivot"))
-        against = open_members.join(pivots, "bucket")
-        if found is not None:
-            roots = found.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            against = against.join(roots, "pivot", "left").filter("root <> coalesce(pivot_root, pivot)")
-        pairs = against.filter("node <> pivot").select(*_ordered(F.col("node"), F.col("pivot"))).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        now = _verified(pairs, texts)
-        checked = now if checked is None else checked.unionByName(now)
-        links = checked.filter(F.col("sim") >= threshold)
-        found = components(links)
-        labelled = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Written before copies are made one, so that a text with very many copies can be split over tasks.
+    copies = materialise(rows.select("node", "text").join(wanted, "node", "left_semi"))
+    texts = materialise(copies.groupBy("node").agg(F.first("text").alias("text")).withColumn("number", F.monotonically_increasing_id()))
+
+    def checked_against(pivots: DataFrame, candidates: DataFrame, done: DataFrame | None) -> DataFrame:
+        """The similarities of all candidates to the pivot of their bucket, but for pairs already done."""
+        pairs = candidates.join(pivots, "bucket").filter("node <> pivot").select(*_ordered(F.col("node"), F.col("pivot"))).distinct()
+        return _verified(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), texts)
+
+    def still_open(links: DataFrame) -> DataFrame:
+        """The members of the buckets that hold several classes, each with its root and that of the bucket's largest class."""
+        labelled = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         per = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         largest = per.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-        open_members = materialise(labelled.join(largest, "bucket").select("bucket", "node", "size", "root", "main"))
-
-    few = open_members.filter("root <> main").select(F.col("bucket").alias("_b"), F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
-    # The similarity of two sets is at most the ratio of their sizes.
-    fits = F.least("size", "x_size") >= F.lit(threshold) * F.greatest("size", "x_size")
+        return materialise(labelled.join(largest, "bucket").select("bucket", "node", "size", "root", "main"))
+
+    drawn = members.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("node", "bucket"), F.col("node"))).alias("pivot"))
+    checked = checked_against(drawn, members, None)
+    divided = still_open(checked.filter(F.col("sim") >= threshold))
+
+    # Shingles that no other text of a divided bucket has are in no intersection, which bounds every similarity from above.
+    still = texts.join(divided.select("node").distinct(), "node", "left_semi")
+    alone = still.select("number", "text").mapInPandas(_shingle_rows, "number LONG, shingle LONG").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("number"))
+    owned = alone.filter("n = 1").groupBy("number").agg(F.count(F.lit(1)).alias("own"))
+    owned = materialise(still.select("node", "number").join(owned, "number").select("node", "own"))
+    divided = materialise(divided.join(owned, "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))))
+    # The text with the smallest share of its own is the middle of its bucket: what is near to anything is most likely near to it.
+    middle = divided.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), F.struct(1 - F.col("common") / F.col("size"), F.col("node"))).alias("_m"))
+    outside = divided.join(middle, "bucket").filter("root <> _m.pivot_root").select("bucket", "node")
+    checked = checked.unionByName(checked_against(middle.select("bucket", "_m.pivot"), outside, checked))
+    links = checked.filter(F.col("sim") >= threshold)
+
+    common = still_open(links).join(divided.select("bucket", "node", "common"), ["bucket", "node"])
+    # At most BANDS buckets per text; a pair is made in the first bucket that both are in.
+    places = members.join(common.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("bucket").alias("places"))
+    common = materialise(common.join(places, "node"))
+    few = common.filter((F.col("root") != F.col("main")) & (F.col("common") >= F.lit(threshold) * F.col("size"))).select(
+        F.col("bucket").alias("_b"), F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("common").alias("x_common"), F.col("places").alias("x_places"),
+    )
+    fits = F.least("common", "x_common") * (1 + threshold) >= F.lit(threshold) * (F.col("size") + F.col("x_size")) - 1e-6
     apart = (F.col("root") != F.col("x_root")) & fits & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
-    rest = few.join(open_members, (F.col("bucket") == F.col("_b")) & apart)
+    first = F.array_min(F.array_intersect("places", "x_places")) == F.col("bucket")
+    rest = few.join(common, (F.col("bucket") == F.col("_b")) & apart & first)
     rest = rest.select(*_ordered(F.col("x"), F.col("node"))).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, texts).filter(F.col("sim") >= threshold))
 

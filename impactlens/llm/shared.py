@@ -84,7 +84,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return materialise(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
 def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
