@@ -202,12 +202,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of equal texts; columns as they came."""
-    groups = exact_groups(docs, id_col, text_col).filter("group_size > 1")
+    groups = materialise(exact_groups(docs, id_col, text_col).filter("group_size > 1"))
     # A row goes if its text has a kept row of another id; repeated rows of the kept id are made one.
     fates = groups.groupBy("doc_id", "text_sha256").agg(F.max(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     fates = materialise(fates.filter("_kept = 0 OR _rows > 1"))
     marked = boxed(docs, doc_id=F.col(id_col), text_sha256=F.sha2(whole(text_col), 256))
     key = ["doc_id", "text_sha256"]
-    rest = same(marked, fates.select(*key), key, "left_anti")
+    # Always merged, so that the plan does not change with the number of copies.
+    rest = same(marked, fates.select(*key).hint("merge"), key, "left_anti")
     repeated = same(marked, fates.filter("_kept = 1").select(*key), key, "left_semi").dropDuplicates(key)
     return unboxed(rest.unionByName(repeated))
