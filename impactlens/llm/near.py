@@ -124,8 +124,8 @@ def _ordered(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, class_size, class_texts, kept): classes of documents chained by similarities of ``threshold`` or more.
+def near_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, node, class_id, class_size, class_texts, kept): classes of documents chained by similarities of ``threshold`` or more.
 
     Equal texts count once. Bands propose; the Jaccard similarity of the sets of five-word shingles decides. In each band
     bucket all texts are first compared with one drawn text, in every band another, and then with the one in the middle, which finds the
@@ -201,11 +201,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("_first"))
     classed = labelled.join(per, "root").join(texts_per, "root").join(best, "root")
     first = F.col("_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_first.node") == F.col("node"))
-    return classed.select("doc_id", "class_id", "class_size", "class_texts", first.alias("kept"))
+    return classed.select("doc_id", "node", "class_id", "class_size", "class_texts", first.alias("kept"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, class_size, class_texts, kept): the rows of ``near_nodes`` without their texts' identity."""
+    return near_nodes(docs, id_col, text_col, threshold).drop("node")
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose row is kept; columns as they came."""
-    id_col = options.get("id_col", "doc_id")
-    gone = near_classes(docs, **options).filter(~F.col("kept")).select("doc_id").distinct()
-    return unboxed(same(boxed(docs, doc_id=F.col(id_col)), materialise(gone), ["doc_id"], "left_anti"))
+    """The documents whose row is kept; columns as they came. A row is its id and its text, as ids may be null or shared by different texts."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    gone = near_nodes(docs, **options).filter(~F.col("kept")).select("doc_id", "node").distinct()
+    marked = boxed(docs, doc_id=F.col(id_col), node=node_of(whole(text_col)))
+    return unboxed(same(marked, materialise(gone), ["doc_id", "node"], "left_anti"))

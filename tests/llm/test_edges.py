@@ -63,6 +63,13 @@ def test_near(docs, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4, 6, 7, 8, 9, 10, 11}
 
 
+def test_near_copies_of_one_id(spark):
+    other, third = LONG[:3000], PROSE.upper().replace("PLAIN", "solid")
+    rows = [(1, PROSE), (None, NEAR), (None, other), (None, third), (5, third + " more"), (5, "one two three")]
+    table = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert {tuple(r) for r in near.without_near_copies(table).collect()} == {(1, PROSE), (None, other), (5, third + " more"), (5, "one two three")}
+
+
 def test_lines(spark, docs, nothing):
     rows = lines.without_repeated_lines(docs).collect()
     assert len(rows) == len(ROWS) and lines.without_repeated_lines(nothing).count() == 0
