@@ -14,7 +14,7 @@ from impactlens.llm.shared import boxed, chunks, components, same, unboxed, whol
 from impactlens.llm.words import mix64, shingles
 from impactlens.session import materialise
 
-#: 28 bands of 6 registers: two texts with a similarity of 0.8 share no band once in 5,000 times.
+#: 28 bands of 6 registers: two texts with a similarity of 0.8 share no band once in 5,000 times, as all shingles weigh the same.
 BANDS, ROWS = 28, 6
 THRESHOLD = 0.8
 _U = np.uint64
@@ -56,9 +56,9 @@ def prob_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: i
 
 def band_keys(texts: list[str]) -> tuple[list, np.ndarray]:
     """The band keys of every text (None for a text without words) and its number of shingles."""
-    text, element, count = shingles(texts)
-    # Repeats weigh in, but a line said a hundred times must not drown the rest.
-    signature = prob_minhash(text, element, 1.0 + np.log(count), len(texts), BANDS * ROWS)
+    text, element, _ = shingles(texts)
+    # Links are decided by sets. With one weight for all, and only then, registers agree with the similarity of the sets.
+    signature = prob_minhash(text, element, np.ones(len(element)), len(texts), BANDS * ROWS)
     grouped = signature.reshape(len(texts), BANDS, ROWS)
     keys = np.zeros((len(texts), BANDS), np.uint64)
     for r in range(ROWS):

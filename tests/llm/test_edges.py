@@ -70,6 +70,20 @@ def test_near_copies_of_one_id(spark):
     assert {tuple(r) for r in near.without_near_copies(table).collect()} == {(1, PROSE), (None, other), (5, third + " more"), (5, "one two three")}
 
 
+def test_repeats_do_not_part_near_texts():
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(314)]
+        said, rest, new = words[:130], words[130:260], words[260:]
+        texts += [" ".join(said + rest + new), " ".join(said * 10 + rest)]
+    assert all(0.8 <= s < 0.82 for s in near.similarities(texts[::2], texts[1::2]))
+    keys, _ = near.band_keys(texts)
+    assert sum(not (a == b).any() for a, b in zip(keys[::2], keys[1::2])) <= 1
+
+
 def test_lines(spark, docs, nothing):
     rows = lines.without_repeated_lines(docs).collect()
     assert len(rows) == len(ROWS) and lines.without_repeated_lines(nothing).count() == 0
