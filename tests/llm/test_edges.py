@@ -197,6 +197,33 @@ def test_containment_join_is_exact(spark):
         assert {label for label, _ in known.matches(have)} == want
 
 
+def test_wrapped_notices():
+    import random
+
+    known = licenses.Templates(licenses.TEMPLATES, {}, licenses.CONTAINMENT)
+    found = lambda text: {(label, *run) for label, _, runs in known.matched_runs([licenses.words_of(x) for x in text.split("\n")]) for run in runs}
+    wrapped = "x\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted\n\nso"
+    assert found(wrapped) == {("bsd", 1, 2)}
+    assert {label for label, *_ in found("It is licensed\nunder CC\nBY-NC\n4.0.")} >= {"cc-by-nc"}
+    rng = random.Random(2)
+    for label, text in licenses.TEMPLATES:
+        cut = "\n".join(" ".join(part) for part in (text.split()[i : i + 4] for i in range(0, len(text.split()), 4)))
+        assert label in {x for x, *_ in found(f"some words\n{cut}\nother words")}
+    for _ in range(300):
+        vocabulary = [f"w{i}" for i in range(8)]
+        templates = [("t", " ".join(rng.choices(vocabulary, k=rng.randrange(1, 9))))]
+        size, tokens = len(templates[0][1].split()), set(templates[0][1].split())
+        lines = [rng.choices([*vocabulary, "x", "y", "z"], k=rng.randrange(0, 5)) for _ in range(rng.randrange(1, 12))]
+        shares = {
+            (i, j): len(tokens & {w for line in lines[i : j + 1] for w in line}) / len(tokens)
+            for i in range(len(lines)) for j in range(i, len(lines)) if j == i or sum(map(len, lines[i + 1 : j])) < size - 1
+        }
+        good = {run for run, share in shares.items() if share >= 0.8}
+        tight = {(i, j) for i, j in good if (i + 1, j) not in good and (i, j - 1) not in good}
+        got = list(licenses.Templates(templates, {}, 0.8).matched_runs(lines))
+        assert [(best, runs) for _, best, runs in got] == ([(max(shares.values()), tight)] if tight else [])
+
+
 def test_packing(docs, nothing):
     rows = packing.pack(docs).collect()
     assert packing.pack(nothing).count() == 0
