@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactlens.llm import chat, exact, fingerprint, licenses, lines, mixing, near, packing, quality, warc
+from impactlens.llm import chat, contamination, exact, fingerprint, licenses, lines, mixing, near, packing, periodic, quality, spelling, warc
 from impactlens.llm.registry import ORACLES, QUERIES, query
 from impactlens.llm.shared import read
 
@@ -78,3 +78,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read(spark, sf_dir, "documents"), slip_every=spelling.SLIP_EVERY)
+    return spelling.variants(words)
+
+
+@query()
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contaminated_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contamination.report(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query()
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest_columns(periodic.collapse_runs(periodic.planted(read(spark, sf_dir, "documents"))))

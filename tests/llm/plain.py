@@ -7,6 +7,9 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,3 +133,120 @@ def pieces(docs, encode, capacity=2048):
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             out[doc, i] = a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))
     return out
+
+
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+SMALL = {i: i + 32 for i in range(65, 91)}
+
+
+def counted_words(docs, slip_every=97, letters=5, times=3):
+    """word -> n."""
+    count = Counter()
+    for doc, text in docs:
+        for run in LETTERS.findall(text or ""):
+            run = run.translate(SMALL)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % slip_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    return {w: n for w, n in count.items() if len(w) >= letters and n >= times}
+
+
+def variants(words):
+    """word -> (form, root, n, n_near, form_n), by joining on what is left without one letter."""
+    less = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            less[w[:i] + w[i + 1 :]].add(w)
+    near = {}
+    for w, n in words.items():
+        found = set(less.get(w, ()))
+        for i in range(len(w)):
+            rest = w[:i] + w[i + 1 :]
+            found |= {rest} & words.keys()
+            found |= {v for v in less[rest] if v != w and v[:i] == w[:i] and v[i + 1 :] == w[i + 1 :]}
+        near[w] = found
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = form[w], root, n, len(near[w]), words[form[w]] if form[w] else None
+    return out
+
+
+PLAIN_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def contaminated(docs, items, size=10):
+    windows = defaultdict(set)
+    for item, text in items:
+        words = PLAIN_WORD.findall((text or "").translate(SMALL))
+        k = min(size, len(words))
+        for i in range(len(words) - k + 1) if k else ():
+            windows[tuple(words[i : i + k])].add("null" if item is None else str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc, text in docs:
+        words = PLAIN_WORD.findall((text or "").translate(SMALL))
+        hit, which = set(), set()
+        for k in sizes:
+            for i in range(len(words) - k + 1):
+                if found := windows.get(tuple(words[i : i + k])):
+                    hit |= set(range(i, i + k))
+                    which |= found
+        out.append((doc, len(words), len(hit), len(which), sha(",".join(sorted(which))), bool(hit)))
+    return out
+
+
+def runs(words, least=24, periods=3):
+    """(start, length, period) of all maximal stretches, lag by lag; a stretch goes to its smallest period."""
+    seen, out = set(), []
+    for q in range(1, len(words) // periods + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, periods * q) and j > i and (i, j + q) not in seen:
+                seen.add((i, j + q))
+                out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out)
+
+
+def periodic(doc, text):
+    """(n_runs, start, length, period, exponent_milli, hash of the runs, hash of the kept words)."""
+    words = WORD.findall(text or "")
+    n, h = len(words), zlib.crc32(str(doc).encode()) if doc is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    found = runs(words) if n < 900 else runs_by_lag(words)
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    gone = {i for s, size, q in found for i in range(s + q, s + size)}
+    top = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return len(found), *top, sha("".join(f"{s},{z},{q}\n" for s, z, q in found)), sha(" ".join(w for i, w in enumerate(words) if i not in gone))
+
+
+def runs_by_lag(words, least=24, periods=3):
+    """As ``runs`` for long texts: every lag compared at once."""
+    number = {}
+    x = np.array([number.setdefault(w, len(number)) for w in words])
+    seen, out = set(), []
+    for q in range(1, len(x) // periods + 1):
+        equal = x[:-q] == x[q:]
+        if equal.sum() < max(least, periods * q) - q:
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], equal, [0]))))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b + q - a >= max(least, periods * q) and (a, b + q) not in seen:
+                seen.add((a, b + q))
+                out.append((a, b + q - a, q))
+    return sorted(out)
