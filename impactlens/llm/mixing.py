@@ -61,14 +61,14 @@ def mix(
     service, which counts with the words served by then, so each source gets its target to the word.
 
     Returns one row per copy and at least one per document: (doc_id, source, size, source_size, target, source_rank,
-    place, pass, finish, offset, words). ``words`` is 0 for documents that the mix leaves out. Null texts have no words;
+    place, pass, finish, offset, words, digest). ``words`` is 0 for documents that the mix leaves out. Null texts have no words;
     a null source is the last source; sources with no words get nothing; repeated rows are documents of their own and
     equal keys are ordered by size.
     """
-    sizes = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(whole(text_col)).alias("size")))
+    sizes = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(whole(text_col)).alias("size"), F.xxhash64(whole(text_col)).alias("digest")))
     shares = targets(sizes, weights, share, max_repeats)
     budget = F.lit((sizes.agg(F.sum("size")).first()[0] or 0) * share)
-    shuffled = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("size")]
+    shuffled = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("size"), F.col("digest")]
     queued = same(running(sizes, ["source"], shuffled, "size").withColumnRenamed("rn", "place"), shares, ["source"])
     passes = F.greatest(F.coalesce(F.ceil(F.col("target") / F.col("source_size")), F.lit(1)), F.lit(1)).cast("int")
     copies = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
@@ -78,7 +78,7 @@ def mix(
     ordered = running(copies, [], [F.col("finish"), F.col("source_rank"), F.col("place"), F.col("pass")], "_served")
     words = F.least(F.col("_served"), F.greatest(F.lit(0), F.ceil(budget) - F.col("upto") + F.col("_served"))).cast("long")
     return ordered.select(
-        "doc_id", "source", "size", "source_size", "target", "source_rank", "place", "pass", "finish", (F.col("upto") - F.col("_served")).alias("offset"), words.alias("words")
+        "doc_id", "source", "size", "source_size", "target", "source_rank", "place", "pass", "finish", (F.col("upto") - F.col("_served")).alias("offset"), words.alias("words"), "digest"
     )
 
 
@@ -92,13 +92,20 @@ def taken_per_document(copies: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, a row for each copy of which at least half is taken; columns as they came.
 
-    Documents without words have no share of a mix and go. Where an id repeats with equal sizes, its rows share
-    the copies of that id evenly, rounded.
+    Documents without words have no share of a mix and go. Rows of one id, source and text are interchangeable: together they
+    get the copies that the mix takes of them, one at most apart. Rows that share an id (null too) but not the text keep each their own.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    id_col, source_col, text_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
     chosen = mix(docs, **options).withColumn("_whole", ((F.col("words") > 0) & (2 * F.col("words") >= F.col("size"))).cast("int"))
-    per = chosen.groupBy("doc_id", "size").agg(F.sum("_whole").alias("_copies"), F.sum((F.col("pass") == 0).cast("int")).alias("_rows"))
-    per = per.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.round(F.col("_copies") / F.col("_rows")).cast("int").alias("_times")).filter("_times > 0")
-    sized = boxed(docs, _here=F.col(id_col), _size_here=word_count(whole(text_col)))
-    joined = sized.join(per, F.col("_here").eqNullSafe(F.col("_id")) & (F.col("_size_here") == F.col("_size")))
-    return unboxed(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))
+    per = chosen.groupBy("doc_id", "source", "digest").agg(F.sum("_whole").alias("_copies"), F.sum((F.col("pass") == 0).cast("int")).alias("_rows"))
+    per = per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), "_copies", "_rows").filter("_copies > 0")
+    rows = boxed(docs, _id=F.col(id_col), _source=F.col(source_col).cast("string"), _digest=F.xxhash64(whole(text_col)))
+    joined = materialise(same(rows, per, ["_id", "_source", "_digest"], "inner"))
+    share = F.expr("_copies div _rows")
+    even = joined.filter("_copies % _rows = 0").select("_row", share.alias("_times"))
+    # Only rows that cannot share evenly are numbered, in a drawn order, by which the range partitions can part them.
+    drawn = materialise(joined.filter("_copies % _rows > 0").withColumn("_draw", F.rand(options.get("seed", 17))))
+    numbered = running(drawn, ["_id", "_source", "_digest"], [F.col("_draw")])
+    uneven = numbered.select("_row", (share + (F.col("rn") <= F.col("_copies") % F.col("_rows")).cast("int")).alias("_times"))
+    times = even.unionByName(uneven).filter("_times > 0")
+    return unboxed(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))))
