@@ -114,33 +114,33 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, pairs: int = PAIRS, seed: int = 5) -> Ranker | None:
-    """Learns from at most ``sample`` labelled documents outside the held-out fifth; None where a label is missing altogether.
+    """Learns from about ``sample`` labelled texts outside the held-out fifth; None where a label is missing altogether.
 
-    Of each label an even share is drawn by the hash of the id, so the sample is the same on every run; its size is ``sample``
-    up to the chance of that draw.
+    What is counted and drawn are distinct (label, id, text), so neither an id with many texts nor a repeated row can exceed the sample. Of
+    each label an even share is drawn by hash: the sample is the same on every run, and its size ``sample`` up to the chance of that draw.
     """
-    usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(
+    usable = labels.select(F.col(id_col).cast("string").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(
         F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id"))
     )
-    usable = materialise(usable.distinct())
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), whole(text_col).alias("text")).withColumn("_digest", F.xxhash64("text"))
+    usable = materialise(rows.select("_id", "_digest").join(usable.distinct(), "_id").distinct())
     count = {r[0]: r[1] for r in usable.groupBy("_label").agg(F.count(F.lit(1))).collect()}
     if len(count) < 2:
         return None
     share = F.when(F.col("_label") == 1, sample / 2 / count[1]).otherwise(sample / 2 / count[0])
-    chosen = materialise(usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20)))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole(text_col).alias("text"))
-    # About ``sample`` ids, whatever the size of the corpus.
-    texts = rows.join(F.broadcast(chosen), "_id").select("_label", "_id", "text")
+    chosen = materialise(usable.filter(F.pmod(F.xxhash64("_id", "_digest"), F.lit(1 << 20)) < share * (1 << 20)))
+    # About ``sample`` keys, whatever the size of the corpus; of equal rows one is described.
+    texts = rows.join(F.broadcast(chosen), ["_id", "_digest"]).select("_label", "_id", "_digest", "text").dropDuplicates(["_label", "_id", "_digest"])
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = _by_chunk(batch["text"].tolist(), features).astype(np.float32)
-            yield batch[["_label", "_id"]].assign(x=[f.tobytes() for f in found])
+            yield batch[["_label", "_id", "_digest"]].assign(x=[f.tobytes() for f in found])
 
-    got = texts.mapInPandas(describe, "_label INT, _id LONG, x BINARY").toPandas()
+    got = texts.mapInPandas(describe, "_label INT, _id STRING, _digest LONG, x BINARY").toPandas()
     if got["_label"].nunique() < 2:
         return None
-    got = got.sort_values(["_id", "_label"], kind="stable")
+    got = got.sort_values(["_id", "_digest", "_label"], kind="stable")
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float)
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     x, y = ((x - center) / scale).clip(-8, 8), got["_label"].to_numpy()
@@ -162,8 +162,8 @@ def scored(docs: DataFrame, ranker: Ranker | None, text_col: str, name: str = "_
 
 def cut_score(scores: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> float:
     """The quantile of the training labels' scores that leaves as many below it as have label 0; all of them count, not a sample."""
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
-    known = materialise(usable.join(scores.select(F.col(id_col).alias("_id"), "_raw"), "_id").select("_label", "_raw"))
+    usable = labels.select(F.col(id_col).cast("string").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
+    known = materialise(usable.join(scores.select(F.col(id_col).cast("string").alias("_id"), "_raw"), "_id").select("_label", "_raw"))
     bad, n = known.agg(F.avg(1 - F.col("_label")), F.count(F.lit(1))).first()
     if not n:
         return 0.0
