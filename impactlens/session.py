@@ -42,19 +42,36 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session, else a folder in its warehouse."""
+    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session, else a folder in its warehouse.
+
+    Off a local master a warehouse on the file system of one machine is no shared folder, and an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(warehouse)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine")
+    return f"{warehouse}/_scratch"
+
+
+def new_folder(spark: SparkSession, kind: str, make: bool = False) -> str:
+    """The full path of a new folder in the shared one; ``clear_scratch`` deletes it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/impactlens-{kind}-{uuid.uuid4().hex}")
+    files = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = files.makeQualified(named)
+    if make:
+        files.mkdirs(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path.toString())
+    return path.toString()
 
 
 def store(df: DataFrame, *partition_by: str) -> str:
     """Writes a table of its own to the shared folder and returns its full path; ``clear_scratch`` deletes it."""
-    spark = df.sparkSession
-    named = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/impactlens-{uuid.uuid4().hex}")
-    path = named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
+    path = new_folder(df.sparkSession, "table")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 

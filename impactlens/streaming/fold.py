@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactlens.functions.text import TERMINAL_STATES
 from impactlens.operators.ledger import ledger_by_role, model_calls
-from impactlens.plans.ordering import first_rows
+from impactlens.plans.ordering import first_rows, single_best
 from impactlens.schemas import schema_of
 
 # Events whose latest payload is kept as it is.
@@ -23,10 +24,15 @@ _PAYLOAD = (
 )
 
 
+def each_once(events: DataFrame, after_seq: int | None = None, lateness: str = "1 hour") -> DataFrame:
+    """Each (job, seq) once, resuming after a number; repeats within the lateness are known from state, older ones fall to the watermark."""
+    rows = events if after_seq is None else events.filter(F.col("seq") > after_seq)
+    return rows.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["job_id", "seq", "kind"])
+
+
 def read_event_stream(spark: SparkSession, directory: str, after_seq: int = 0, lateness: str = "1 hour") -> DataFrame:
     """History, then live: the same directory either way, each (job, seq) once, resuming after a seq."""
-    events = spark.readStream.schema(schema_of("event")).parquet(directory)
-    return events.filter(F.col("seq") > after_seq).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["job_id", "seq"])
+    return each_once(spark.readStream.schema(schema_of("event")).parquet(directory), after_seq, lateness)
 
 
 def slots(events: DataFrame) -> DataFrame:
@@ -111,15 +117,65 @@ def newest_per_job(events: DataFrame, keep: int = 400) -> DataFrame:
     return first_rows(events, ["job_id"], [F.col("seq").desc()], keep).drop("rn")
 
 
-def newest_writer(directory: str, keep: int = 400) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: merges each micro-batch into the bounded view, one folder per batch.
+class KeyedSink:
+    """A foreachBatch sink for update mode: the newest row of each key, in folders of a directory that are each written whole.
 
-    A batch that runs again finds the same older folder and writes the same result.
+    A batch that runs again replaces its own folder, so rows count once. After every ``compact_every`` batches the view is written as
+    one base folder; the folders it holds are deleted only when it is complete, and readers take the newest base and what came
+    after it. With ``merge`` the view is made by that function instead, as for a bounded log.
     """
-    def write(batch: DataFrame, epoch: int) -> None:
-        view = batch
-        if epoch > 0:
-            view = view.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{directory}/{epoch - 1}"))
-        newest_per_job(view.dropDuplicates(["job_id", "seq"]), keep).write.mode("overwrite").parquet(f"{directory}/{epoch}")
 
-    return write
+    def __init__(self, directory: str, keys: list[str], compact_every: int = 10, merge: Callable[[DataFrame], DataFrame] | None = None):
+        self.directory, self.keys, self.compact_every, self.merge = directory.rstrip("/"), keys, compact_every, merge
+
+    def _folders(self, spark: SparkSession) -> list[tuple[int, str]]:
+        """(epoch, kind) of the complete folders."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.directory)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        found = []
+        for entry in fs.listStatus(path):
+            kind, _, epoch = entry.getPath().getName().partition("-")
+            done = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+            if kind in ("base", "batch") and fs.exists(done):
+                found.append((int(epoch), kind))
+        return sorted(found)
+
+    def _live(self, spark: SparkSession) -> list[tuple[int, str]]:
+        folders = self._folders(spark)
+        base = max((e for e, kind in folders if kind == "base"), default=-1)
+        return [(e, kind) for e, kind in folders if e > base or (e == base and kind == "base")]
+
+    def read(self, spark: SparkSession, schema) -> DataFrame:
+        parts = [spark.read.schema(schema).parquet(f"{self.directory}/{kind}-{e}").withColumn("_epoch", F.lit(e)) for e, kind in self._live(spark)]
+        if not parts:
+            return spark.createDataFrame([], schema)
+        rows = reduce(DataFrame.unionByName, parts)
+        if self.merge:
+            return self.merge(rows.drop("_epoch"))
+        return single_best(rows, self.keys, [F.col("_epoch")], descending=True).select(*parts[0].drop("_epoch").columns)
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        if any(kind == "base" and e >= epoch for e, kind in self._folders(spark)):
+            return  # it ran before and is in the base
+        rows = self.merge(batch) if self.merge else batch
+        rows.write.mode("overwrite").parquet(f"{self.directory}/batch-{epoch}")
+        if len(self._live(spark)) >= self.compact_every:
+            old = self._folders(spark)
+            self.read(spark, batch.schema).write.mode("overwrite").parquet(f"{self.directory}/base-{epoch}")
+            for e, kind in old:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{kind}-{e}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def newest_sink(directory: str, keep: int = 400, compact_every: int = 10) -> KeyedSink:
+    """A bounded view of the newest entries of each job; repeats count once."""
+    return KeyedSink(directory, ["job_id"], compact_every, lambda rows: newest_per_job(rows.dropDuplicates(["job_id", "seq"]), keep))
+
+
+def run_into(stream: DataFrame, sink: KeyedSink, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over all that is there, into the sink, and returns the sink's view."""
+    stream.writeStream.foreachBatch(sink.write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return sink.read(stream.sparkSession, stream.schema)

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from impactlens.functions.text import is_terminal_event
+from impactlens.streaming.ordered import Ordered, in_order
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,58 +20,49 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class _Gaps(StatefulProcessor):
-    def init(self, handle) -> None:
-        self.top = handle.getValueState("top", "seq BIGINT")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        seqs = np.unique(np.concatenate([batch["seq"].to_numpy() for batch in rows]))
-        start = self.top.get()[0] if self.top.exists() else None
-        chain = seqs if start is None else np.concatenate([[start], seqs[seqs > start]])
-        wide = np.nonzero(np.diff(chain) > 1)[0]
-        if len(chain):
-            self.top.update((int(chain[-1]),))
-        if len(wide):
-            yield pd.DataFrame({"job_id": [key[0]] * len(wide), "first": chain[wide] + 1, "last": chain[wide + 1] - 1})
-
-    def close(self) -> None:
-        pass
-
-
-def detect_gaps(events: DataFrame) -> DataFrame:
-    """(job_id, first, last) of numbers a reader missed when a later one arrived: it has to replay them."""
-    return events.select("job_id", "seq").groupBy("job_id").transformWithStateInPandas(
-        _Gaps(), "job_id STRING, first BIGINT, last BIGINT", "Append", "None"
-    )
+class _Gaps(Ordered):
+    def release(self, job, rows, reached, memory):
+        seqs = rows["seq"].to_numpy()
+        if reached is not None:
+            seqs = np.concatenate([[reached], seqs])
+        wide = np.flatnonzero(np.diff(seqs) > 1)
+        return pd.DataFrame({"job_id": job, "first": seqs[wide] + 1, "last": seqs[wide + 1] - 1}) if len(wide) else None, ()
 
 
-class _Closing(StatefulProcessor):
-    def __init__(self, drain_ms: int):
-        self.drain = pd.Timedelta(milliseconds=drain_ms)
+def detect_gaps(events: DataFrame, lateness: str = "1 hour", stretch: str = "10 minutes", forget: str = "7 days") -> DataFrame:
+    """(job_id, first, last) of numbers that did not come within the lateness: a reader has to replay them.
 
-    def init(self, handle) -> None:
-        self.closes = handle.getValueState("closes", "ts TIMESTAMP")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        end = pd.Timestamp(self.closes.get()[0]) if self.closes.exists() else None
-        if end is None and batch["terminal"].any():
-            end = batch.loc[batch["terminal"], "ts"].iloc[0] + self.drain
-            self.closes.update((end.to_pydatetime(),))
-        late = pd.Series(False, index=batch.index) if end is None else batch["ts"] > end
-        out = batch.assign(route=np.where(late, "late", "main"))
-        yield out[["job_id", "seq", "ts", "kind", "payload", "route"]]
-
-    def close(self) -> None:
-        pass
-
-
-def close_on_terminal(events: DataFrame, drain_ms: int = 1500) -> DataFrame:
-    """Adds route: 'main' up to a short drain after the job's terminal event, 'late' behind it."""
-    flagged = events.select("job_id", "seq", "ts", "kind", "payload", is_terminal_event("kind", "payload").alias("terminal"))
-    return flagged.groupBy("job_id").transformWithStateInPandas(
-        _Closing(drain_ms), "job_id STRING, seq BIGINT, ts TIMESTAMP, kind STRING, payload STRING, route STRING", "Append", "None"
+    Rows are judged in the order of their numbers (``ordered.in_order``), so the files and batches they come in make no difference.
+    """
+    rows = events.select("job_id", "seq", "ts")
+    return in_order(rows, _Gaps, "job_id STRING, first BIGINT, last BIGINT", lateness, stretch, forget)
+
+
+class _Closing(Ordered):
+    MEMORY = "closes_us BIGINT"
+
+    def __init__(self, drain_ms: int, **times):
+        super().__init__(**times)
+        self.drain_ms = drain_ms
+
+    def release(self, job, rows, reached, memory):
+        end = memory[0] if memory else None
+        terminal = rows["terminal"].to_numpy()
+        if end is None and terminal.any():
+            end = int(rows["us"].iloc[int(terminal.argmax())]) + self.drain_ms * 1000
+        late = np.zeros(len(rows), bool) if end is None else rows["us"].to_numpy() > end
+        return rows[["job_id", "seq", "ts", "kind", "payload"]].assign(route=np.where(late, "late", "main")), (end,)
+
+
+def close_on_terminal(
+    events: DataFrame, drain_ms: int = 1500, lateness: str = "1 hour", stretch: str = "10 minutes", forget: str = "7 days"
+) -> DataFrame:
+    """Adds route: 'main' up to a short drain after the job's first terminal event by number, 'late' behind it."""
+    flagged = events.select(
+        "job_id", "seq", "ts", "kind", "payload", F.coalesce(is_terminal_event("kind", "payload"), F.lit(False)).alias("terminal"), F.unix_micros("ts").alias("us")
     )
+    schema = "job_id STRING, seq BIGINT, ts TIMESTAMP, kind STRING, payload STRING, route STRING"
+    return in_order(flagged, _Closing, schema, lateness, stretch, forget, drain_ms=drain_ms)
 
 
 def _judge(spent: int, budget: int, op: str, estimate: int, actual: int) -> tuple[int, bool]:
@@ -97,39 +88,53 @@ def _judged(batch: pd.DataFrame, balances: dict[str, int], refused: set) -> pd.D
             granted = False
         else:
             spent, granted = _judge(spent, row.budget, row.op, row.estimate, row.actual)
-        if row.op == "reserve" and not granted:
+        if row.op == "reserve" and not granted and row.call_id is not None:
             refused.add((row.job_id, row.call_id))
         balances[row.job_id] = spent
         out.append((row.job_id, row.seq, row.op, granted, spent, max(0, row.budget - spent)))
     return pd.DataFrame(out, columns=["job_id", "seq", "op", "granted", "spent", "remaining"])
 
 
-class _Budget(StatefulProcessor):
+class _Refused:
+    """Refused calls: those of the rows at hand, and those in state, looked up one by one."""
+
+    def __init__(self, stored):
+        self.stored, self.new = stored, set()
+
+    def __contains__(self, call: tuple[str, str]) -> bool:
+        return call in self.new or (call[1] is not None and self.stored.containsKey(call))
+
+    def add(self, call: tuple[str, str]) -> None:
+        self.new.add(call)
+        self.stored.updateValue(call, (True,))
+
+
+class _Budget(Ordered):
+    MEMORY = "spent BIGINT"
+    #: The balance of a job stays, one number; calls refused long ago are settled or given up.
+    FORGETS = False
+
     def init(self, handle) -> None:
-        self.spent = handle.getValueState("spent", "tokens BIGINT")
-        self.refused = handle.getMapState("refused", "call_id STRING", "seq BIGINT")
+        super().init(handle)
+        self.refused = handle.getMapState("refused", "job_id STRING, call_id STRING", "refused BOOLEAN")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        balances = {key[0]: self.spent.get()[0] if self.spent.exists() else 0}
-        before = {(key[0], k[0]) for k in self.refused.keys()}
-        refused = set(before)
-        out = _judged(batch, balances, refused)
-        for _, call in refused - before:
-            self.refused.updateValue((call,), (int(batch["seq"].iloc[-1]),))
-        self.spent.update((int(balances[key[0]]),))
-        yield out
+    def release(self, job, rows, reached, memory):
+        balances = {job: memory[0] if memory else 0}
+        out = _judged(rows, balances, _Refused(self.refused))
+        return out, (int(balances[job]),)
 
-    def close(self) -> None:
-        pass
+    def forget(self, jobs) -> None:
+        for call in [c for c in self.refused.keys() if c[0] in jobs]:
+            self.refused.removeKey(call)
 
 
-def budget_guard(operations: DataFrame) -> DataFrame:
-    """Grants or refuses each (job_id, seq, op, call_id, estimate, actual, budget) in order.
+def budget_guard(operations: DataFrame, lateness: str = "1 hour", stretch: str = "10 minutes", forget: str = "7 days") -> DataFrame:
+    """Grants or refuses each (job_id, seq, ts, op, call_id, estimate, actual, budget) in the order of the numbers.
 
     A refused reservation does not count, and neither does what follows on the same call.
     """
-    return operations.groupBy("job_id").transformWithStateInPandas(_Budget(), BUDGET_ROW, "Append", "None")
+    rows = operations.select("job_id", "seq", "ts", "op", "call_id", "estimate", "actual", "budget")
+    return in_order(rows, _Budget, BUDGET_ROW, lateness, stretch, forget)
 
 
 def budget_replay(operations: DataFrame) -> DataFrame:

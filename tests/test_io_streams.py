@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from impactlens.operators import timeline
+from impactlens.plans import stream_queries
 from impactlens.schemas import schema_of
 from impactlens.sources import artifacts, diffs, events
 from impactlens.streaming import fold, guards
@@ -79,6 +80,12 @@ def test_stream_ledger_equals_batch(spark, tmp_path, rows):
     assert rows(streamed) == rows(fold.stream_ledger(batch))
 
 
+def beat(part):
+    """A row of no job, long after all others: what is held back comes out."""
+    far = (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")
+    return part.limit(1).select(*[F.lit("").alias(c) if c == "job_id" else far if c == "ts" else F.col(c) for c in part.columns])
+
+
 def stream_of(spark, tmp_path, *parts):
     directory = str(tmp_path / "in")
     for i, part in enumerate(parts):
@@ -87,7 +94,8 @@ def stream_of(spark, tmp_path, *parts):
 
 
 def test_gaps_across_batches(spark, tmp_path, rows):
-    stream = stream_of(spark, tmp_path, log(spark, (1, "x", {}), (2, "x", {}), (5, "x", {})), log(spark, (6, "x", {}), (9, "x", {}), (2, "x", {}, "k")))
+    parts = log(spark, (1, "x", {}), (2, "x", {}), (9, "x", {})), log(spark, (6, "x", {}), (5, "x", {}), (2, "x", {}), (2, "x", {}, "k"))
+    stream = stream_of(spark, tmp_path, *parts, beat(parts[0]))
     assert rows(drain(guards.detect_gaps(stream), str(tmp_path))) == [("j", 3, 4), ("j", 7, 8)]
     batch = log(spark, (1, "x", {}), (2, "x", {}), (5, "x", {}), (6, "x", {}))
     assert rows(timeline.seq_gaps(batch, ["job_id"])) == [("j", 3, 4)]
@@ -96,7 +104,7 @@ def test_gaps_across_batches(spark, tmp_path, rows):
 def test_closing(spark, tmp_path):
     stream = stream_of(
         spark, tmp_path, log(spark, (1, "job.state", {"state": "Ingesting"}), (2, "job.state", {"state": "Aborted"})),
-        log(spark, (3, "pr.opened", {}, "j", 3), (4, "x", {}, "j", 60), (5, "x", {}, "k", 60)),
+        log(spark, (3, "pr.opened", {}, "j", 3), (4, "x", {}, "j", 60), (5, "x", {}, "k", 60)), beat(log(spark, (1, "x", {}))),
     )
     got = {(r.job_id, r.seq): r.route for r in drain(guards.close_on_terminal(stream, drain_ms=1500), str(tmp_path)).collect()}
     assert got == {("j", 1): "main", ("j", 2): "main", ("j", 3): "main", ("j", 4): "late", ("k", 5): "main"}
@@ -111,7 +119,8 @@ def test_budget(spark, tmp_path, rows):
     batch = spark.createDataFrame(ops, OPS)
     want = [("a", 1, True, 300), ("a", 2, False, 300), ("a", 3, False, 300), ("a", 4, True, 1000), ("b", 1, True, 500), ("b", 2, True, 380), ("b", 3, True, 0)]
     assert rows(guards.budget_replay(batch), "job_id", "seq", "granted", "remaining") == want
-    stream = stream_of(spark, tmp_path, spark.createDataFrame(ops[:3] + ops[4:5], OPS), spark.createDataFrame(ops[3:4] + ops[5:], OPS))
+    timed = [spark.createDataFrame(part, OPS).withColumn("ts", F.timestamp_seconds("seq")) for part in (ops[:1] + ops[3:5], ops[1:3] + ops[5:] + ops[:1])]
+    stream = stream_of(spark, tmp_path, *timed, beat(timed[0]))
     got = drain(guards.budget_guard(stream), str(tmp_path))
     assert rows(got, "job_id", "seq", "granted", "remaining") == want
 
@@ -128,13 +137,57 @@ def test_open_attempts(spark, tmp_path, rows):
     assert {("a", "ok"), ("b", "cancelled"), ("c", "red")} <= set(rows(got, "attempt_id", "verdict"))
 
 
+def test_guards_do_not_depend_on_files(spark, tmp_path, rows):
+    """Four files of numbers dealt by hash, one a trigger, each with repeats of the others."""
+    raw = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ops = stream_queries._operations(raw)
+    parts = [ops.filter(F.pmod(F.xxhash64("seq"), F.lit(4)).isin(i, (i + 1) % 4)) for i in range(4)]
+    stream = stream_of(spark, tmp_path, *parts, beat(parts[0].withColumn("ts", F.expr("ts + INTERVAL 60 DAYS"))))
+    got = drain(guards.budget_guard(stream, "40 days", "3 days", "3650 days"), str(tmp_path))
+    assert rows(got) == rows(guards.budget_replay(ops)) and got.count() == 1000
+
+
+def test_silent_jobs_are_forgotten(spark, tmp_path, rows):
+    day = 86_400
+    parts = [
+        log(spark, (1, "job.stopped", {}, "j", 0), (2, "x", {}, "j", 60), (1, "x", {}, "k", 0)), log(spark, (5, "x", {}, "k", 5 * day)),
+        log(spark, (9, "x", {}, "j", 20 * day), (9, "x", {}, "k", 20 * day)), log(spark, (1, "x", {}, "m", 40 * day)),
+    ]
+    stream = stream_of(spark, tmp_path, *parts, beat(parts[3]))
+    got = drain(guards.detect_gaps(stream, forget="10 days"), str(tmp_path))
+    assert rows(got) == [("k", 2, 4)]
+    (tmp_path / "c").mkdir()
+    stream = stream_of(spark, tmp_path / "c", *parts, beat(parts[3]))
+    done = drain(guards.close_on_terminal(stream, forget="30 days"), str(tmp_path / "c"))
+    assert {(r.job_id, r.seq) for r in done.filter("route = 'late'").collect()} == {("j", 2), ("j", 9)}
+
+
+def test_rows_without_a_place_are_left_out(spark, tmp_path, rows):
+    part = log(spark, (1, "x", {}), (4, "x", {}))
+    odd = part.limit(1).select(F.lit(None).cast("long").alias("seq"), "job_id", "ts", "kind", "payload")
+    stream = stream_of(spark, tmp_path, part.unionByName(odd).unionByName(part.withColumn("job_id", F.lit(None).cast("string"))), beat(part))
+    assert rows(drain(guards.detect_gaps(stream), str(tmp_path))) == [("j", 2, 3)]
+
+
 def test_newest_view_is_bounded(spark, tmp_path):
-    write = fold.newest_writer(str(tmp_path), keep=3)
-    write(log(spark, *[(i, "x", {}) for i in range(1, 5)]), 0)
-    write(log(spark, (5, "x", {}), (4, "x", {}), (1, "x", {}, "k")), 1)
-    write(log(spark, (5, "x", {}), (4, "x", {}), (1, "x", {}, "k")), 1)
-    got = spark.read.parquet(f"{tmp_path}/1")
-    assert sorted((r.job_id, r.seq) for r in got.collect()) == [("j", 3), ("j", 4), ("j", 5), ("k", 1)]
+    view = fold.newest_sink(str(tmp_path / "view"), keep=3, compact_every=2)
+    one, two = log(spark, *[(i, "x", {}) for i in range(1, 5)]), log(spark, (5, "x", {}), (4, "x", {}), (1, "x", {}, "k"))
+    for epoch, batch in enumerate([one, two, two, one]):
+        view.write(batch, epoch)
+        view.write(batch, epoch)
+    assert sorted((r.job_id, r.seq) for r in view.read(spark, one.schema).collect()) == [("j", 3), ("j", 4), ("j", 5), ("k", 1)]
+    assert len(view._folders(spark)) <= 2
+
+
+def test_keyed_sink_keeps_the_newest_row_of_each_key(spark, tmp_path, rows):
+    sink = fold.KeyedSink(str(tmp_path / "sink"), ["k"], compact_every=3)
+    schema = "k STRING, n INT"
+    assert sink.read(spark, schema).isEmpty()
+    for epoch, batch in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("c", 1)], [("a", 3), (None, 1)], [], [("b", 9), (None, 2)]]):
+        for _ in range(2):
+            sink.write(spark.createDataFrame(batch, schema), epoch)
+    assert sorted(tuple(r) for r in sink.read(spark, schema).collect() if r.k) == [("a", 3), ("b", 9), ("c", 1)]
+    assert [r.n for r in sink.read(spark, schema).filter("k IS NULL").collect()] == [2] and len(sink._folders(spark)) < 4
 
 
 def test_append_page_and_trace(spark, tmp_path, rows):
