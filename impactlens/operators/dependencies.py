@@ -33,33 +33,40 @@ def order_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
         remaining = materialise(rest.select("job_id", "seq", "target_file", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
 
 
+def _walk(edges: DataFrame, near: list[str], far: list[str]) -> DataFrame:
+    """All (job_id, seq, needs) that can be reached; ``near`` columns stay with seq, ``far`` ones with needs.
+
+    Path doubling where only the pairs of the last round are extended: a pair 2^r + d steps apart has a point 2^r steps from
+    its start, which the last round found. Rounds grow with the logarithm of the depth.
+    """
+    pair = ["job_id", "seq", "needs"]
+    columns = [*pair, *near, *far]
+    fresh = paths = materialise(edges.select(*columns).dropDuplicates(pair))
+    while not fresh.isEmpty():
+        onward = paths.select("job_id", F.col("seq").alias("needs"), F.col("needs").alias("_far"), *[F.col(c).alias(f"_{c}") for c in far])
+        longer = fresh.join(onward, ["job_id", "needs"]).select("job_id", "seq", F.col("_far").alias("needs"), *near, *[F.col(f"_{c}").alias(c) for c in far])
+        fresh = materialise(longer.dropDuplicates(pair).join(paths, pair, "left_anti").select(*columns))
+        paths = paths.unionByName(fresh)
+    return paths
+
+
 def closure(deps: DataFrame) -> DataFrame:
-    """(job_id, seq, needs): every transitive dependency, by path doubling (log of the depth in rounds)."""
-    paths = materialise(deps.select("job_id", "seq", "needs").distinct())
-    size = paths.count()
-    while True:
-        onward = paths.select("job_id", F.col("seq").alias("needs"), F.col("needs").alias("far"))
-        longer = paths.join(onward, ["job_id", "needs"]).select("job_id", "seq", F.col("far").alias("needs"))
-        paths = materialise(paths.unionByName(longer).distinct())
-        grown = paths.count()
-        if grown == size:
-            return paths
-        size = grown
+    """(job_id, seq, needs): every transitive dependency."""
+    return _walk(deps, [], [])
 
 
 def dependency_closure(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Verified dependencies of each task, transitively, on files other than its own.
 
-    The walk runs through discarded dependencies as well; they are only left out of the answer.
+    The walk runs through discarded dependencies as well; they are only left out of the answer. Files and states are joined to the
+    direct dependencies once and travel with the pairs. Where a task is listed twice, its first file in order counts.
     """
-    all_paths = closure(deps)
-    own = tasks.select("job_id", "seq", F.col("target_file").alias("own_file"))
-    other = tasks.filter(F.col("state") == "verified").select("job_id", F.col("seq").alias("needs"), "target_file")
-    return (
-        all_paths.join(own, ["job_id", "seq"]).join(other, ["job_id", "needs"])
-        .filter(F.col("own_file") != F.col("target_file"))
-        .select("job_id", "seq", "needs", "target_file")
-    )
+    known = tasks.groupBy("job_id", "seq").agg(F.min(F.struct("target_file", "state")).alias("_t"))
+    own = known.select("job_id", "seq", F.col("_t.target_file").alias("own_file"))
+    other = known.select("job_id", F.col("seq").alias("needs"), F.col("_t.target_file").alias("target_file"), (F.col("_t.state") == "verified").alias("verified"))
+    edges = deps.select("job_id", "seq", "needs").distinct().join(own, ["job_id", "seq"], "left").join(other, ["job_id", "needs"], "left")
+    paths = _walk(edges, ["own_file"], ["target_file", "verified"])
+    return paths.filter(F.col("verified") & (F.col("own_file") != F.col("target_file"))).select("job_id", "seq", "needs", "target_file")
 
 
 def fork_tree(nodes: DataFrame) -> DataFrame:

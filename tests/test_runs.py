@@ -70,6 +70,21 @@ def test_fork_tree_and_plan_checks(spark, rows):
     assert got == [("cycle", 2), ("cycle", 3), ("duplicate seq", 1), ("outside radius", 2), ("too many tasks", None), ("unknown dependency", 1)]
 
 
+def test_closure_of_cycles_and_chains(spark):
+    rng = random.Random(4)
+    jobs = {
+        "two cycles and tails": [(1, 2), (2, 3), (3, 1), (4, 1), (3, 5), (5, 6), (6, 7), (7, 6), (8, 8), (7, 9), (10, 4)],
+        "chain": [(i, i + 1) for i in range(12)], "ring": [(i, (i + 1) % 15) for i in range(15)], "dice": [(rng.randrange(30), rng.randrange(30)) for _ in range(45)],
+    }
+    deps = spark.createDataFrame([(j, a, b) for j, es in jobs.items() for a, b in es * 2], "job_id STRING, seq INT, needs INT")
+    pairs = {(r.job_id, r.seq, r.needs) for r in dependencies.closure(deps).collect()}
+    for job, es in jobs.items():
+        hops = set(es)
+        while more := {(a, d) for a, b in hops for c, d in es if b == c} - hops:
+            hops |= more
+        assert {(a, b) for j, a, b in pairs if j == job} == hops
+
+
 # ----------------------------------------------------------------- ordering --
 
 
