@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -87,18 +88,39 @@ def test_repeated_lines(spark):
         for start, n in lines.cut_lines(rows):
             body = "\n".join(rows[start : start + n])
             first.setdefault(body, (doc, start))
-            count[body] += n > 1
+            count[body] += 1
     want = {}
     for doc, text in docs:
         rows, gone = text.split("\n"), set()
         for start, n in lines.cut_lines(rows):
-            if n > 1 and first["\n".join(rows[start : start + n])] != (doc, start):
+            if first["\n".join(rows[start : start + n])] != (doc, start):
                 gone.update(range(start, start + n))
         want[doc] = len(rows), len(gone), plain.sha("\n".join(x for i, x in enumerate(rows) if i not in gone))
     got = {r.doc_id: (r.n_lines, r.removed_lines, r.text_sha256) for r in QUERIES["op3_lines"](spark, sf).collect()}
     assert got == want and max(count.values()) > 1
 
 
+def test_repeated_runs_of_lines(spark):
+    """Against pairs of lines alone: nearly every line of a run of over 50 words that stood in smaller ids goes, and every line keeps a first place."""
+    sf = "/root/testdata/sf0.01"
+    docs = {doc: text.split("\n") for doc, text in sorted(table(spark, "documents", "doc_id", "text", sf=sf))}
+    before, kept, runs, missed, n_lines, lost = set(), set(), 0, 0, 0, 0
+    out = {r.doc_id: r.text.split("\n") for r in lines.without_repeated_lines(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for doc, rows in docs.items():
+        left = Counter(out[doc])
+        again = [pair in before for pair in zip(rows, rows[1:], strict=False)]
+        for repeated, stretch in itertools.groupby(range(len(again)), again.__getitem__):
+            places = [*stretch]
+            run = rows[places[0] : places[-1] + 2]
+            if repeated and sum(len(line.split()) for line in run) > 50:
+                stay = sum(left[line] > 0 for line in run)
+                runs, missed, n_lines, lost = runs + 1, missed + (stay == len(run)), n_lines + len(run), lost + stay
+        before.update(zip(rows, rows[1:], strict=False))
+        kept.update(out[doc])
+        assert set(rows) <= kept | {""}
+    assert runs > 50 and missed <= 0.02 * runs and lost <= 0.05 * n_lines
+
+
 def test_licenses(spark):
     docs = dict(table(spark, "documents", "doc_id", "text", sf="/root/testdata/sf0.01"))
     sets = [(label, set(licenses.words_of(text))) for label, text in licenses.TEMPLATES]
