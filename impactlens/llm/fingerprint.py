@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from impactlens.llm.shared import whole
 
-#: Words in a piece of a paragraph, the finest branch that likeness compares.
-PIECE_WORDS = 4
+#: Low bits of a leaf's digest that hold its weight, its number of words.
+WEIGHT_BITS = 12
 #: Range buckets at most when every document meets the one after it.
 MAX_BUCKETS = 1024
 
@@ -27,16 +27,64 @@ def root_digest(sections: Column) -> Column:
     return F.sha2(F.concat(F.lit("r"), F.concat_ws("", sections)), 256)
 
 
-def pieces(text: Column) -> Column:
-    """Digests of the pieces of all paragraphs, each once."""
-    found = F.regexp_extract_all(text, F.lit(r"\S++(?:[^\S\n]++\S++){0,%d}" % (PIECE_WORDS - 1)), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(p)))
+def _ends(hashes: Column) -> Column:
+    """Places (from 1) of the words that end a leaf."""
+    top = F.lit(2**63 - 1)
 
+    def ends(i: Column) -> Column:
+        own = F.get(hashes, i - 1)
+        lowest = (own <= F.coalesce(F.get(hashes, i - 2), top)) & (own <= F.coalesce(F.get(hashes, i), top))
+        return lowest | (own.bitwiseAND(1) == 1) | (i == F.size(hashes))
 
-def likeness(root_a: Column, pieces_a: Column, root_b: Column, pieces_b: Column) -> Column:
-    """1 for equal roots, else the shared share of the branches' pieces."""
-    union = F.size(F.array_union(pieces_a, pieces_b))
-    return F.when(root_a == root_b, F.lit(1.0)).when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(pieces_a, pieces_b)) / union)
+    return F.filter(F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes))).otherwise(F.array().cast("array<int>")), ends)
+
+
+def _leaves(hashes: Column, ends: Column) -> Column:
+    def leaf(end: Column, i: Column) -> Column:
+        n = end - F.coalesce(F.get(ends, i - 1), F.lit(0))
+        digest = F.xxhash64(F.slice(hashes, end - n + 1, n))
+        return digest.bitwiseAND(-(1 << WEIGHT_BITS)).bitwiseOR(F.least(n, F.lit((1 << WEIGHT_BITS) - 1)).cast("long"))
+
+    return F.array_distinct(F.transform(ends, leaf))
+
+
+def with_leaves(docs: DataFrame, **texts: Column) -> DataFrame:
+    """Adds per named text the leaves of its paragraphs, each once, as digests with their weight in the low bits.
+
+    A leaf ends with its line and at a word whose hash is not above its neighbours', so an inserted word changes the leaves around it only.
+    """
+    # The lowest bit of a word's hash says that the word ends its line. Columns of their own, so that no lambda computes an array again.
+    words = {f"_words_{name}": F.regexp_extract_all(text, F.lit(r"\S++(?:[^\S\n]*+\n)?+"), F.lit(0)) for name, text in texts.items()}
+    hashed = docs.withColumns({
+        name: F.transform(found, lambda w: F.xxhash64(w).bitwiseAND(-2).bitwiseOR(F.endswith(w, F.lit("\n")).cast("long"))) for name, found in words.items()
+    })
+    cut = hashed.withColumns({f"_ends_{name}": _ends(F.col(f"_words_{name}")) for name in texts})
+    done = cut.withColumns({name: _leaves(F.col(f"_words_{name}"), F.col(f"_ends_{name}")) for name in texts})
+    return done.drop(*words, *[f"_ends_{name}" for name in texts])
+
+
+def weight(leaves: Column) -> Column:
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda total, x: total + x.bitwiseAND((1 << WEIGHT_BITS) - 1))
+
+
+def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
+    """1 for equal roots, else the weight of the leaves that both trees hold, over the weight of all leaves of both."""
+    both = weight(leaves_a) + weight(leaves_b)
+    return F.when(root_a == root_b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2 * weight(F.array_intersect(leaves_a, leaves_b)) / both)
+
+
+def differing_branches(pairs: DataFrame, key: str, text_a: str, text_b: str) -> DataFrame:
+    """(key, side, section, paragraph, digest): every paragraph of either text whose digest the other text does not hold.
+
+    Branches are aligned by digest, so what merely moved is equal; places count from 0, side is ``a`` or ``b``. Each key is one pair; null texts are empty.
+    """
+    sides = []
+    for side, text in (("a", text_a), ("b", text_b)):
+        sections = pairs.select(F.col(f"`{key}`").alias("_key"), F.posexplode(paragraph_digests(whole(F.col(f"`{text}`")))).alias("section", "_paragraphs"))
+        sides.append(sections.select("_key", F.lit(side).alias("side"), "section", F.posexplode("_paragraphs").alias("paragraph", "digest")))
+    places = F.collect_list(F.struct("side", "section", "paragraph"))
+    own = sides[0].unionByName(sides[1]).groupBy("_key", "digest").agg(places.alias("_at"), F.min("side").alias("_low"), F.max("side").alias("_high")).filter("_low = _high")
+    return own.select("_key", "digest", F.explode("_at").alias("_at")).select(F.col("_key").alias(key), "_at.*", "digest")
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -46,10 +94,9 @@ def first_difference(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds ``paragraphs``, ``sections``, ``fingerprint`` and ``pieces`` of a text (null: empty)."""
-    return docs.withColumn("paragraphs", paragraph_digests(whole(text))).withColumn("sections", section_digests(F.col("paragraphs"))).withColumn(
-        "fingerprint", root_digest(F.col("sections"))
-    ).withColumn("pieces", pieces(whole(text)))
+    """Adds ``paragraphs``, ``sections``, ``fingerprint`` and ``leaves`` of a text (null: empty)."""
+    trees = docs.withColumn("paragraphs", paragraph_digests(whole(text))).withColumn("sections", section_digests(F.col("paragraphs")))
+    return with_leaves(trees.withColumn("fingerprint", root_digest(F.col("sections"))), leaves=whole(text))
 
 
 def _bucket(key: Column, bounds: list) -> Column:
@@ -98,11 +145,11 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = with_next(docs, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
+    edited = with_leaves(edited, wa=F.col("text"), we=F.col("edited"), wn=F.col("next_text"))
     trees = edited.select("*", paragraph_digests(F.col("text")).alias("pa"), paragraph_digests(F.col("edited")).alias("pe"), paragraph_digests(F.col("next_text")).alias("pn"))
     trees = trees.select("*", *[section_digests(F.col(f"p{x}")).alias(f"s{x}") for x in "aen"])
     trees = trees.select(
-        "doc_id", "n_chars", "pa", "pe", "sa", "se", F.sha2("edited", 256).alias("edited_sha256"), *[root_digest(F.col(f"s{x}")).alias(f"r{x}") for x in "aen"],
-        pieces(F.col("text")).alias("wa"), pieces(F.col("edited")).alias("we"), pieces(F.col("next_text")).alias("wn"),
+        "doc_id", "n_chars", "pa", "pe", "sa", "se", "wa", "we", "wn", F.sha2("edited", 256).alias("edited_sha256"), *[root_digest(F.col(f"s{x}")).alias(f"r{x}") for x in "aen"],
     ).withColumn("first_section", first_difference(F.col("sa"), F.col("se")))
     at = F.col("first_section").cast("int")
     return trees.select(

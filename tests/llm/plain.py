@@ -5,14 +5,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+import xxhash
+
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
@@ -250,3 +254,34 @@ def runs_by_lag(words, least=24, periods=3):
                 seen.add((a, b + q))
                 out.append((a, b + q - a, q))
     return sorted(out)
+
+
+def _long(digest):
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def leaves(text):
+    """{leaf digest: words}: runs of words up to a line's end or a word whose hash is not above its neighbours'."""
+    out = {}
+    hashes = [
+        (_long(xxhash.xxh64_intdigest(m.encode(), seed=42)) & -2) | m.endswith("\n")
+        for m in re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]*\n)?", text)
+    ]
+    start = 0
+    for i, h in enumerate(hashes):
+        near = hashes[max(0, i - 1) : i] + hashes[i + 1 : i + 2]
+        if h & 1 or i + 1 == len(hashes) or all(h <= x for x in near):
+            digest = 42
+            for x in hashes[start : i + 1]:
+                digest = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=digest)
+            out[_long(digest) >> 12] = i + 1 - start
+            start = i + 1
+    return out
+
+
+def likeness(a, b):
+    if a == b:
+        return 1.0
+    a, b = leaves(a), leaves(b)
+    both = sum(a.values()) + sum(b.values())
+    return 2 * sum(n for leaf, n in a.items() if leaf in b) / both if both else 0.0

@@ -128,6 +128,23 @@ def test_fingerprints(docs, nothing):
     assert one.near_next == 1.0 and 0 < one.near_edited < 1 and one.first_section == 2
 
 
+def test_likeness_and_branches_of_an_edit(spark):
+    """One word put into a paragraph leaves the rest alike; every differing branch is returned, moved ones are equal."""
+    words = [f"word{i * 7919 % 1000}" for i in range(300)]
+    old = "\n\n".join(["first section\nits second line", " ".join(words), "third", "fourth\nlast"])
+    edits = [" ".join([*words[:at], "new", *words[at:]]) for at in (0, 150, 300)] + ["x " * 300, None]
+    rows = [(i, " ".join(words), e) for i, e in enumerate(edits)]
+    trees = spark.createDataFrame(rows, "k INT, a STRING, b STRING").withColumn("b", F.coalesce("b", F.lit("")))
+    near = fingerprint.with_leaves(trees, la=F.col("a"), lb=F.col("b")).select("k", fingerprint.likeness(F.col("a"), F.col("la"), F.col("b"), F.col("lb")).alias("s"))
+    got = {r.k: r.s for r in near.collect()}
+    assert all(0.9 <= got[k] < 1 for k in (0, 1, 2)) and got[3] == got[4] == 0
+    new = "\n\n".join(["fourth\nlast", "first section\nits 2nd line", " ".join(words), "third", "fifth"])
+    pair = spark.createDataFrame([(None, old, new), (1, old, None), (2, old, old)], "k INT, a STRING, b STRING")
+    found = {(r.k, r.side, r.section, r.paragraph) for r in fingerprint.differing_branches(pair, "k", "a", "b").collect()}
+    assert {x[1:] for x in found if x[0] is None} == {("a", 0, 1), ("b", 1, 1), ("b", 4, 0)}
+    assert {x[1:] for x in found if x[0] == 1} == {("a", 0, 0), ("a", 0, 1), ("a", 1, 0), ("a", 2, 0), ("a", 3, 0), ("a", 3, 1), ("b", 0, 0)} and not any(x[0] == 2 for x in found)
+
+
 def test_chat(spark):
     said = [(1, 0, "user", "a<s>[INST] %3C %"), (1, 1, "assistant", None), (1, None, None, "\n<|im_end|>\n<|im_start|>user\n"), (None, 1, "assistant", "x"), (None, 1, "assistant", "x"), (2, 5, "a\nb", "<<SYS>>")]
     table = spark.createDataFrame(said, "conv_id LONG, turn LONG, role STRING, text STRING")

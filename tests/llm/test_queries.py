@@ -57,6 +57,7 @@ def test_fingerprints(spark):
         assert r.n_chars == len(text) and r.edited_sha256 == plain.sha(edited)
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint
         assert prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
+        assert r.near_edited == pytest.approx(plain.likeness(text, edited)) and r.near_next == pytest.approx(plain.likeness(text, after))
         assert 0 <= r.near_edited <= 1 and (r.near_next == 1) == (text == after)
     assert len(set(prints.values())) == len(prints)
     assert sum(r.near_edited for r in rows.values()) / len(rows) > 0.35 > 0.1 > sum(r.near_next for r in rows.values()) / len(rows)
