@@ -16,8 +16,9 @@ def references(facts: DataFrame) -> DataFrame:
 
 
 def private_definitions(facts: DataFrame) -> DataFrame:
+    """Functions and classes of a module's own level (they start at column 0) whose name has one leading underscore."""
     return facts.filter(
-        (F.col("fact") == "module_name") & F.col("kind").isin("FunctionDef", "AsyncFunctionDef", "ClassDef")
+        (F.col("fact") == "def") & F.col("kind").isin("function", "class") & (F.col("position") == 0)
         & F.startswith("name", F.lit("_")) & ~F.startswith("name", F.lit("__"))
     ).select("graph_id", "path", "name").distinct()
 

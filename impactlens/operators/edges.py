@@ -231,6 +231,7 @@ def declared_versions(manifest_lines: DataFrame, packages: DataFrame) -> DataFra
     def canonical(c: Column) -> Column:
         return F.lower(F.regexp_replace(c, "[-_.]", "-"))
 
+    # Fixed value: a requirement with a pinned or lowest version.
     pattern = r"""^\s*["']?([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:==|~=|>=)\s*(\d[\w.]*)"""
     found = manifest_lines.select(
         "graph_id", "path", "line_no", canonical(F.regexp_extract("text", pattern, 1)).alias("key"),

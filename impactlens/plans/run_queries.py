@@ -618,7 +618,7 @@ v AS (SELECT job_id, pr_url, caveats, CASE
   WHEN state = 'Aborted' THEN {{'outcome': 'ERROR', 'cause': 'aborted', 'reasons': [coalesce(stop_reason, 'the run aborted')]}}
   WHEN state = 'NoSafetyNet' THEN {{'outcome': 'UNVERIFIED', 'cause': 'no_safety_net', 'reasons': [coalesce(stop_reason, 'no reliable test to measure against')]}}
   WHEN state = 'NoPR' THEN CASE
-    WHEN reason = 'cancelled' THEN {{'outcome': 'UNVERIFIED', 'cause': 'cancelled', 'reasons': ['cancelled before it finished']}}
+    WHEN reason = 'cancelled' THEN {{'outcome': 'UNVERIFIED', 'cause': 'cancelled', 'reasons': ['stopped on request']}}
     WHEN len(defects) > 0 THEN {{'outcome': 'FAILED', 'cause': 'impact', 'reasons': list_transform(defects, lambda f: f.detail)}}
     WHEN apart THEN {{'outcome': 'FAILED', 'cause': 'integration', 'reasons': ['failing: t::a, t::b']}}
     WHEN insecure THEN {{'outcome': 'FAILED', 'cause': 'security', 'reasons': ['secret.jwt: found (a.py:7)']}}

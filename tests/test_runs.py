@@ -218,7 +218,7 @@ def test_outcomes(spark):
     assert {i: (got[i].outcome, got[i].cause) for i in got} == {i: c[1] for i, c in enumerate(CASES)}
     done = got[6]
     assert done.reasons == [] and done.pr_offered and done.repository_changed and got[0].pr_offered is None
-    assert got[15].reasons == ["coverage dropped on a touched file"]
+    assert got[15].reasons == ["a changed file is covered less than before"]
 
 
 def test_caveats_keep_their_order_and_are_counted(spark):
