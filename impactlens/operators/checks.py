@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from impactlens.functions.codes import MANIFESTS
 from impactlens.functions.secrets import fingerprint
 from impactlens.functions.text import is_test_path, last_part
+from impactlens.session import materialise
 
 
 def scope_check(tasks: DataFrame, touched: DataFrame, radius: DataFrame, allows_new: bool = False) -> DataFrame:
@@ -43,20 +44,38 @@ def scope_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataF
     return both.select(*keys, F.when(F.col("_e").isNull(), "unexpected").otherwise("untouched").alias("side"))
 
 
-def plan_gaps(call_files: DataFrame, planned: DataFrame, plans: DataFrame, discarded: DataFrame) -> DataFrame:
+def note_pieces(names: DataFrame, notes: DataFrame, block: int = 4096) -> DataFrame:
+    """(job_id, name), distinct: pieces of each job's notes among which all names are that stand inside some note of their job.
+
+    ``names`` has (job_id, name), ``notes`` (job_id, note), both in lower case. A note yields its pieces that are as long as some name
+    of its job and end with the last letter of one of that length. A name is told if it equals a piece, so no name meets a note.
+    The lengths of a job's names and their last letters are few whatever the job holds; long notes are read in blocks of ``block``
+    code points. Null names and notes match nothing; an empty name is in every note.
+    """
+    shapes = names.filter(F.col("name").isNotNull()).groupBy("job_id", F.char_length("name").alias("size")).agg(F.collect_set(F.right("name", F.lit(1))).alias("ends"))
+    told = notes.filter(F.col("note").isNotNull()).select("job_id", "note").join(shapes, "job_id")
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("note"), F.lit(1)), F.lit(block))
+    blocks = told.select("job_id", "size", "ends", F.explode(F.transform(starts, lambda at: F.substring("note", at, F.lit(block - 1) + F.greatest(F.col("size"), F.lit(1))))).alias("block"))
+    last = F.least(F.lit(block), F.char_length("block") - F.col("size") + 1)
+    pieces = F.transform(F.sequence(F.lit(1), last), lambda at: F.substring("block", at, F.col("size")))
+    ending = F.filter(pieces, lambda piece: F.array_contains("ends", F.right(piece, F.lit(1))))
+    return blocks.filter(F.char_length("block") >= F.col("size")).select("job_id", F.explode(ending).alias("name")).distinct()
+
+
+def plan_gaps(call_files: DataFrame, planned: DataFrame, notes: DataFrame, discarded: DataFrame) -> DataFrame:
     """(job_id, path, kind, severity) of call files without a task, or whose task was discarded.
 
-    ``plans`` has one row per job with its array of notes; a note that holds the path or its base name
-    explains the file. Case does not count.
+    ``notes`` has one row per note (job_id, note); a note that holds the path or its base name explains the file, and whatever
+    holds the path holds its base name. Case does not count.
     """
     files = call_files.select("job_id", "path").distinct()
-    lowered = F.lower(F.array_join(F.coalesce("notes", F.array().cast("array<string>")), " "))
-    base = F.lower(F.element_at(F.split("path", "/"), -1))
-    open_files = files.join(planned.select("job_id", "path").distinct(), ["job_id", "path"], "left_anti")
-    told = open_files.join(plans.select("job_id", "notes"), "job_id", "left").withColumn(
-        "told", F.contains(lowered, base) | F.contains(lowered, F.lower("path"))
+    # Read twice: for the shapes of its names and for the answer.
+    open_files = materialise(
+        files.join(planned.select("job_id", "path").distinct(), ["job_id", "path"], "left_anti")
+        .withColumn("name", F.lower(F.element_at(F.split("path", "/"), -1)))
     )
-    explained = told.select(
+    told = note_pieces(open_files, notes.select("job_id", F.lower("note").alias("note"))).withColumn("told", F.lit(True))
+    explained = open_files.join(told, ["job_id", "name"], "left").select(
         "job_id", "path",
         F.when(F.col("told"), "call_site_declined").otherwise("incomplete_plan").alias("kind"),
         F.when(F.col("told"), "info").otherwise("block").alias("severity"),

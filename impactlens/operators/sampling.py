@@ -38,18 +38,40 @@ def even_sample(
     return placed.filter(keep).drop("rn", "n")
 
 
-def sample_changed(changed: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """A fair sample of changed lines (keys, path, line): files share the cap, runs share a file's part."""
-    files = even_sample(changed.select(*keys, "path").distinct(), keys, [F.col("path")], cap)
-    shares = quotas(files, keys, [F.col("path")], cap)
-    runs = line_runs(changed, [*keys, "path"])
-    per_file = runs.groupBy(*keys, "path").agg(F.count(F.lit(1)).alias("_runs"))
-    budget = shares.join(per_file, [*keys, "path"]).withColumn("_each", F.greatest(F.lit(1), F.floor(F.col("share") / F.col("_runs"))))
-    lines = (
-        runs.join(budget, [*keys, "path"])
-        .withColumn("line", F.explode(F.sequence("first", "last")))
-    )
-    within = even_sample(lines, [*keys, "path", "first"], [F.col("line")], F.col("_each"))
-    return even_sample(within, [*keys, "path"], [F.col("line")], F.col("share")).select(*keys, "path", "line")
+def _spots(n: Column, k: Column) -> Column:
+    """The 0-based places of an even sample of k out of n rows in order, as an array; all of them if k is no smaller."""
+    some = F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lambda i: F.bround(i * (n - 1) / F.greatest(k - 1, F.lit(1)), 0).cast("long"))
+    return F.when(k >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(some)
 
 
+def sample_changed(changed: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """A fair sample of changed lines (keys, path, line): files share the cap, runs share a file's part.
+
+    With more files than the cap an even sample of the files counts. Each run gives an even sample of at least one line, and what
+    the runs of a file give is cut to the file's share by an even sample again. All three samples are places in an order, so they
+    are computed from a file's number and its runs' lengths: files and runs are numbered once each, lines never, and files that
+    are not drawn leave before their runs are numbered. A cap below one keeps nothing; null paths and lines count as no change.
+    """
+    lines = changed.select(*keys, "path", "line").filter(F.col("path").isNotNull() & F.col("line").isNotNull())
+    if cap < 1:
+        return lines.limit(0)
+    placed = numbered(lines.select(*keys, "path").distinct(), keys, [F.col("path")])
+    drawn = F.least(F.col("n"), F.lit(cap))
+    at = (F.array_position(_spots(F.col("n"), F.lit(cap).cast("long")), F.col("rn") - 1) - 1).alias("_at")
+    files = placed.select(*keys, "path", drawn.alias("_drawn"), at).filter("_at >= 0").select(
+        *keys, "path", (F.floor(F.lit(cap) / F.col("_drawn")) + F.when(F.col("_at") < F.lit(cap) % F.col("_drawn"), 1).otherwise(0)).alias("_share")
+    )
+    file = [*keys, "path"]
+    runs = line_runs(lines.join(files.select(*file), file, "left_semi"), file, bounded=True).withColumn("_length", (F.col("last") - F.col("first") + 1).cast("long"))
+    counted = runs.join(runs.groupBy(*file).agg(F.count(F.lit(1)).alias("_runs")).join(files, file), file).withColumn(
+        "_each", F.greatest(F.lit(1).cast("long"), F.floor(F.col("_share") / F.col("_runs")))
+    )
+    # The runs of one file are bounded by its lines.
+    given = numbered(counted, file, [F.col("first")], F.least("_length", "_each"), bounded=True)
+    total = given.groupBy(*file).agg(F.sum(F.least("_length", "_each")).alias("_total"))
+    taken = given.join(total, file).select(
+        *file, "first", (F.col("running") - F.least("_length", "_each")).alias("_before"), "_total", "_share",
+        F.posexplode(_spots(F.col("_length"), F.col("_each"))).alias("_pos", "_spot"),
+    )
+    here = F.col("_before") + F.col("_pos")
+    return taken.filter(F.array_contains(_spots(F.col("_total"), F.col("_share")), here)).select(*file, (F.col("first") + F.col("_spot")).cast(changed.schema["line"].dataType).alias("line"))

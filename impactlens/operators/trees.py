@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.operators.radius import find_symbols
@@ -67,35 +67,50 @@ def tree_level(files: DataFrame, prefix: str, limit: int = TREE_LIMIT, symbols:
     return shown.unionByName(rest, allowMissingColumns=True)
 
 
-def read_span(lines: DataFrame, spans: DataFrame, keys: list[str], cap: int = SPAN_LIMIT) -> DataFrame:
-    """(keys, start, end, truncated, found, total_lines, text): the lines of each span (keys, start, end), at most ``cap`` of them.
+def _bounds(start: str, end: str, cap: int | None) -> tuple[Column, Column, Column]:
+    """First line, last line and whether the cap may have cut, of a span from ``start`` to ``end``."""
+    first = F.greatest(F.col(start), F.lit(1))
+    last = F.greatest(F.col(end), first)
+    return (first, last, F.lit(False)) if cap is None else (first, F.least(last, first + cap - 1), last - first + 1 >= cap)
+
+
+def _gathered(lines: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` (keys, start, _stop) with end, total_lines and text. Lines are counted without their texts; only those inside are shuffled with them."""
+    span = [*keys, "start", "_stop"]
+    totals = lines.select(*keys).join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("total_lines"))
+    inside = lines.select(*keys, "line_no", "text").join(wanted.select(*span), keys).filter(F.col("line_no").between(F.col("start"), F.col("_stop")))
+    texts = inside.groupBy(*span).agg(F.max("line_no").alias("end"), F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_lines")).select(
+        *span, "end", F.array_join(F.transform("_lines", lambda s: s["text"]), "\n").alias("text")
+    )
+    return wanted.join(totals, keys, "left").join(texts, span, "left")
+
+
+def read_span(lines: DataFrame, spans: DataFrame, keys: list[str], cap: int | None = SPAN_LIMIT) -> DataFrame:
+    """(keys, start, end, truncated, found, total_lines, text): the lines of each span (keys, start, end), at most ``cap`` of them or all.
 
     Every span has its row: a file that is not there is not ``found``, and a span past its end has no ``end`` and no text.
     """
-    start = F.greatest(F.col("start"), F.lit(1))
-    stop = F.greatest(F.col("end"), start)
-    wanted = spans.select(*keys, start.alias("start"), F.least(stop, start + cap - 1).alias("_stop"), (stop - start + 1 >= cap).alias("truncated")).distinct()
-    inside = F.col("line_no").between(F.col("start"), F.col("_stop"))
-    # Lines outside a span count, but only those inside are gathered.
-    kept = F.sort_array(F.collect_list(F.when(inside, F.struct("line_no", "text"))))
-    found = lines.join(wanted, keys).groupBy(*keys, "start", "truncated").agg(
-        F.max(F.when(inside, F.col("line_no"))).alias("end"), F.count(F.lit(1)).alias("total_lines"), F.array_join(F.transform(kept, lambda s: s["text"]), "\n").alias("text")
-    )
-    return wanted.drop("_stop").join(found, [*keys, "start", "truncated"], "left").withColumn("found", F.col("total_lines").isNotNull()).fillna({"total_lines": 0, "text": ""})
+    first, last, cut = _bounds("start", "end", cap)
+    wanted = spans.select(*keys, first.alias("start"), last.alias("_stop"), cut.alias("truncated")).distinct()
+    read = _gathered(lines, wanted, keys).withColumn("found", F.col("total_lines").isNotNull())
+    return read.fillna({"total_lines": 0, "text": ""}).drop("_stop")
 
 
-def entity(symbols: DataFrame, lines: DataFrame, name: str, limit: int = 5, cap: int = SPAN_LIMIT) -> DataFrame:
-    """Up to ``limit`` symbols of a name per graph, each with its bounded source and the full count."""
+def entity(symbols: DataFrame, lines: DataFrame, name: str, limit: int = 5, cap: int | None = SPAN_LIMIT) -> DataFrame:
+    """Up to ``limit`` symbols of a name per graph, each with its source of at most ``cap`` lines (or whole) and the full count.
+
+    ``truncated`` tells of symbols left out, ``source_truncated`` of lines: the symbol goes on where its source was cut.
+    """
     found = find_symbols(symbols, name)
     counts = found.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
-    shown = first_rows(found, ["graph_id"], [F.col("path"), F.col("line_start"), F.col("fqn")], limit).drop("rn")
-    spans = shown.select("graph_id", "path", F.col("line_start").alias("start"), F.col("line_end").alias("end")).distinct()
-    source = read_span(lines, spans, ["graph_id", "path"], cap).select(
-        "graph_id", "path", F.col("start").alias("line_start"), F.col("text").alias("source"), "total_lines"
+    first, last, _ = _bounds("line_start", "line_end", cap)
+    shown = first_rows(found, ["graph_id"], [F.col("path"), F.col("line_start"), F.col("fqn")], limit).select(
+        "graph_id", "fqn", "path", "line_start", "line_end", first.alias("start"), last.alias("_stop")
     )
+    span = ["graph_id", "path", "start", "_stop"]
+    source = _gathered(lines, shown.select(*span).distinct(), ["graph_id", "path"]).withColumnRenamed("text", "source")
     return (
-        shown.select("graph_id", "fqn", "path", "line_start", "line_end")
-        .join(source, ["graph_id", "path", "line_start"], "left")
-        .join(counts, "graph_id")
-        .withColumn("truncated", F.col("total") > limit)
+        shown.join(source, span).join(counts, "graph_id")
+        .withColumn("total_lines", F.coalesce("total_lines", F.lit(0))).withColumn("truncated", F.col("total") > limit)
+        .withColumn("source_truncated", F.coalesce(F.col("_stop") < F.least("line_end", "total_lines"), F.lit(False))).drop("start", "_stop", "end")
     )

@@ -283,15 +283,29 @@ def tree_level(spark, d):
 
 @query(f"""WITH {b.LINE}, found AS (SELECT doc_id, lang || '.d' || doc_id || '.' || source AS fqn FROM documents WHERE source = 'src3'),
 placed AS (SELECT *, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), fqn) AS rn, count(*) OVER () AS total FROM found)
-SELECT p.fqn, p.total, p.total > 5 AS truncated, string_agg(l.text, chr(10) ORDER BY l.line_no) FILTER (WHERE l.line_no <= 400) AS source, count(*) AS total_lines
+SELECT p.fqn, p.total, p.total > 5 AS truncated, string_agg(l.text, chr(10) ORDER BY l.line_no) FILTER (WHERE l.line_no <= 400) AS source, count(*) AS total_lines, count(*) > 400 AS source_truncated
 FROM placed p JOIN line l ON l.doc_id = p.doc_id WHERE rn <= 5 GROUP BY ALL""")
 def entity(spark, d):
+    symbols, lines = _text_symbols(spark, d)
+    return trees.entity(symbols, lines, "src3").select("fqn", "total", "truncated", "source", "total_lines", "source_truncated")
+
+
+@query(f"""WITH {b.LINE}, found AS (SELECT doc_id, lang || '.d' || doc_id || '.' || source AS fqn FROM documents WHERE source = 'src4')
+SELECT p.fqn, (SELECT count(*) FROM found) AS total, false AS truncated, string_agg(l.text, chr(10) ORDER BY l.line_no) AS source, count(*) AS total_lines, false AS source_truncated
+FROM found p JOIN line l ON l.doc_id = p.doc_id GROUP BY ALL""")
+def entity_whole(spark, d):
+    # No symbol and no line is left out.
+    symbols, lines = _text_symbols(spark, d)
+    return trees.entity(symbols, lines, "src4", limit=2**31 - 2, cap=None).select("fqn", "total", "truncated", "source", "total_lines", "source_truncated")
+
+
+def _text_symbols(spark, d):
+    """Every text as one file with one symbol, and the lines of the texts."""
     symbols = b.table(spark, d, "documents").select(
         b.graph(), F.concat(F.col("lang"), F.lit(".d"), F.col("doc_id").cast("string"), F.lit("."), F.col("source")).alias("fqn"),
         F.col("source").alias("name"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line_start"), F.lit(1_000_000).alias("line_end"),
     )
-    lines = b.line(spark, d).select(b.graph(), F.col("doc_id").cast("string").alias("path"), "line_no", "text")
-    return trees.entity(symbols, lines, "src3").select("fqn", "total", "truncated", "source", "total_lines")
+    return symbols, b.line(spark, d).select(b.graph(), F.col("doc_id").cast("string").alias("path"), "line_no", "text")
 
 
 @query(f"""WITH {b.LINE}, hit AS (SELECT *, line_no BETWEEN 2 AND 4 AS inside FROM line)
@@ -305,6 +319,18 @@ def read_span(spark, d):
     return trees.read_span(b.line(spark, d).select("doc_id", "line_no", "text"), spans, ["doc_id"], cap=3)
 
 
+@query(f"""WITH {b.LINE}, span AS (SELECT doc_id, unnest([1, 3]) AS start FROM documents UNION ALL SELECT -1 - item_id, 1 FROM benchmark)
+SELECT s.doc_id, s.start, max(l.line_no) FILTER (WHERE l.line_no >= s.start) AS "end", false AS truncated, count(l.line_no) > 0 AS found, count(l.line_no) AS total_lines,
+  coalesce(string_agg(l.text, chr(10) ORDER BY l.line_no) FILTER (WHERE l.line_no >= s.start), '') AS text
+FROM span s LEFT JOIN line l ON l.doc_id = s.doc_id GROUP BY s.doc_id, s.start""")
+def read_span_whole(spark, d):
+    # Each text from its first line on and from its third, to the end and uncut.
+    ids = b.table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(1), F.lit(3))).alias("start"))
+    absent = b.table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.lit(1).alias("start"))
+    spans = ids.unionByName(absent).withColumn("end", F.lit(2**31 - 1))
+    return trees.read_span(b.line(spark, d).select("doc_id", "line_no", "text"), spans, ["doc_id"], cap=None)
+
+
 @query("""WITH node AS (SELECT c_custkey, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey),
 o AS (SELECT o_orderkey, r FROM orders JOIN node ON o_custkey = c_custkey),
 l AS (SELECT r, l_returnflag, l_linestatus FROM lineitem JOIN o ON l_orderkey = o_orderkey)

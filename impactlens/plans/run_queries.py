@@ -164,9 +164,8 @@ def plan_gaps(spark, d):
         b.tag("o", "l_orderkey").alias("job_id"), F.concat(b.tag("src/S", "l_suppkey"), F.lit(".py")).alias("path"), F.col("l_returnflag").alias("flag")
     ).distinct()
     base = F.element_at(F.split("path", "/"), -1)
-    # The notes of one plan: an order has a handful of lines.
-    plans = rows.filter(F.col("flag") == "N").groupBy("job_id").agg(F.collect_list(F.concat(F.lit("Left "), base, F.lit(" alone"))).alias("notes"))
-    return checks.plan_gaps(rows, rows.filter(F.col("flag") == "A"), plans, rows.filter(F.col("flag") == "R"))
+    notes = rows.filter(F.col("flag") == "N").select("job_id", F.concat(F.lit("Left "), base, F.lit(" alone")).alias("note"))
+    return checks.plan_gaps(rows, rows.filter(F.col("flag") == "A"), notes, rows.filter(F.col("flag") == "R"))
 
 
 @query("""WITH l AS (SELECT p_brand AS g, l_partkey AS path, l_linenumber AS line, l_returnflag AS flag, l_linestatus AS st, p_size FROM lineitem JOIN part ON l_partkey = p_partkey),

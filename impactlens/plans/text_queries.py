@@ -261,6 +261,26 @@ def even_sample(spark, d):
     return sampling.even_sample(lines, ["doc_id"], [F.col("line_no")], 5, bounded=True)
 
 
+# Numbers of an even sample of k out of n rows in order, from 0.
+SPOTS = "CASE WHEN {k} >= {n} THEN range(CAST({n} AS BIGINT)) ELSE list_transform(range(CAST({k} AS BIGINT)), lambda i: CAST(round_even(i * ({n} - 1) / greatest({k} - 1, 1.0), 0) AS BIGINT)) END"
+
+
+@query(f"""WITH {DELTA}, chg AS (SELECT DISTINCT g.lang, g.source, d.doc_id AS path, d.line FROM delta d JOIN documents g ON g.doc_id = d.doc_id WHERE d.side = 'after'),
+f AS (SELECT lang, source, path, row_number() OVER w - 1 AS spot, count(*) OVER (PARTITION BY lang, source) AS n FROM (SELECT DISTINCT lang, source, path FROM chg) WINDOW w AS (PARTITION BY lang, source ORDER BY path)),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY path) AS k, count(*) OVER (PARTITION BY lang, source) AS m FROM f WHERE list_contains({SPOTS.format(n='n', k=30)}, spot)),
+share AS (SELECT path, 30 // m + CASE WHEN k <= 30 % m THEN 1 ELSE 0 END AS share FROM drawn),
+isl AS (SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS run FROM chg),
+per AS (SELECT i.*, s.share, count(DISTINCT run) OVER (PARTITION BY i.path) AS runs, row_number() OVER (PARTITION BY i.path, run ORDER BY line) - 1 AS spot, count(*) OVER (PARTITION BY i.path, run) AS n FROM isl i JOIN share s ON s.path = i.path),
+given AS (SELECT lang, source, path, line, share FROM per WHERE list_contains({SPOTS.format(n='n', k='greatest(1, share // runs)')}, spot)),
+cut AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS spot, count(*) OVER (PARTITION BY path) AS n FROM given)
+SELECT lang, source, path, line FROM cut WHERE list_contains({SPOTS.format(n='n', k='share')}, spot)""")
+def sample_changed(spark, d):
+    # Languages and sources stand for jobs, texts for their files; 30 lines of each.
+    homes = b.documents(spark, d).select("doc_id", "lang", "source").distinct()
+    changed = _delta(spark, d).filter(F.col("side") == "after").join(homes, "doc_id").select("lang", "source", F.col("doc_id").alias("path"), "line")
+    return sampling.sample_changed(changed, ["lang", "source"], 30)
+
+
 @query(f"""WITH {DELTA}, chg AS (SELECT DISTINCT doc_id, line FROM delta WHERE side = 'before'), site AS (SELECT doc_id, line_no AS line FROM line WHERE regexp_matches(text, 'the'))
 SELECT s.doc_id, count(*) AS sites, count(c.line) AS changed FROM site s LEFT JOIN chg c ON c.doc_id = s.doc_id AND c.line = s.line GROUP BY s.doc_id""")
 def sites_changed(spark, d):

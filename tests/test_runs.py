@@ -294,11 +294,29 @@ def test_removals_and_moves(spark, rows):
 
 def test_plan_gaps(spark, rows):
     files = frame(spark, "job_id STRING, path STRING", ("j", "src/A.py"), ("j", "src/b.py"), ("j", "src/c.py"))
-    got = checks.plan_gaps(files, frame(spark, "job_id STRING, path STRING", ("j", "src/c.py")), frame(spark, "job_id STRING, notes ARRAY<STRING>", ("j", ["skip a.PY", "x"])),
+    got = checks.plan_gaps(files, frame(spark, "job_id STRING, path STRING", ("j", "src/c.py")), frame(spark, "job_id STRING, note STRING", ("j", "skip a.PY"), ("j", "x"), ("j", None)),
                            frame(spark, "job_id STRING, path STRING", ("j", "src/c.py"), ("j", "src/z.py")))
     assert rows(got, "path", "kind") == [("src/A.py", "call_site_declined"), ("src/b.py", "incomplete_plan"), ("src/c.py", "unmigrated_call_site")]
 
 
+def test_names_in_ten_thousand_notes_of_one_job(spark, rows):
+    from collections import defaultdict
+    from random import Random
+
+    draw = Random(5)
+    names = [("j", draw.choice(("mod", "é", "x")) + str(draw.randrange(30_000)) + ".py") for _ in range(2_000)]
+    names += [("j", n) for n in ("a", "zz", "", "q.", "ü", "mod7.py", "long12.py", "long13.py", "long14.py")] + [("k", "mod7.py"), ("k", ""), ("none", "x1.py"), ("j", None)]
+    notes = [("j", f"left {draw.choice(('mod', 'é', 'xx'))}{draw.randrange(30_000)}.py alone") for _ in range(10_000)] + [("k", "mod7.p"), ("j", None), ("j", ""), ("j", "über"), ("j", "-" * 40 + "long12.py" + "-" * 90 + "long13.py")]
+    of_job = defaultdict(list)
+    for job, note in notes:
+        of_job[job] += [note] if note is not None else []
+    want = {(job, name) for job, name in names if name is not None and any(name in note for note in of_job[job])}
+    named = frame(spark, "job_id STRING, name STRING", *names)
+    pieces = checks.note_pieces(named, frame(spark, "job_id STRING, note STRING", *notes), block=20)
+    got = named.distinct().join(pieces, ["job_id", "name"], "left_semi")
+    assert rows(got, "job_id", "name") == sorted(want, key=repr) and len(want) > 100
+
+
 def test_third_party_imports(spark, rows):
     files = frame(spark, "graph_id STRING, path STRING, lang STRING", ("g", "src/own/a.py", "python"), ("g", "src/b.py", "python"))
     imports = frame(spark, "graph_id STRING, path STRING, source_module STRING, resolved_path STRING, resolved_symbol STRING",
