@@ -9,6 +9,7 @@ from impactlens.operators import checks, cleanup, edges, interface, ledger, reso
 from impactlens.plans import bindings as b
 from impactlens.plans.registry import ORACLES, query
 from impactlens.plans.run_queries import PARAMS, params_of
+from impactlens.sources import diffs
 from impactlens.sources.tree import file_table
 
 FILE_PATH = """CASE WHEN source = 'src3' THEN 'tests/' ELSE 'src/' END || source || '/d' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' ELSE '.txt' END"""
@@ -152,6 +153,93 @@ def failure_text(spark, d):
     return runs.select("l_orderkey", reports.failure_excerpt("report", "stdout").alias("excerpt"))
 
 
+# Where a test of a line crashed: inside a package, under either path style, in test tooling, or in the own sources.
+CRASH = """CASE l_suppkey % 5 WHEN 0 THEN '/v/site-packages/lib' || (l_suppkey % 7) || '/core/__init__.py' WHEN 1 THEN 'C:' || chr(92) || 'site-packages' || chr(92) || 'net' || chr(92) || 'p' || (l_suppkey % 3) || '.py'
+  WHEN 2 THEN '/v/dist-packages/pluggy/hooks.py' WHEN 3 THEN '/repo/src/own.py' ELSE '/v/dist-packages/lib' || (l_suppkey % 7) || '.py' END"""
+MODULE = """CASE l_suppkey % 5 WHEN 0 THEN 'lib' || (l_suppkey % 7) || '.core' WHEN 1 THEN 'net.p' || (l_suppkey % 3) WHEN 4 THEN 'lib' || (l_suppkey % 7) END"""
+MESSAGE = """CASE l_linenumber % 3 WHEN 0 THEN 'lib.Oops: no' || chr(10) || 'Second: line' WHEN 1 THEN 'not an exception: x' ELSE 'ValueError' END"""
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey, {MODULE} AS module, CASE l_linenumber % 3 WHEN 0 THEN 'lib.Oops' WHEN 2 THEN 'ValueError' END AS exception FROM lineitem
+  WHERE l_returnflag <> 'N'),
+hit AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS rn FROM t WHERE module IS NOT NULL AND exception IS NOT NULL)
+SELECT o.l_orderkey, h.module, string_split(h.module, '.')[1] AS package, h.exception FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN hit h ON h.l_orderkey = o.l_orderkey AND h.rn = 1""")
+def failure_signature(spark, d):
+    crash = F.struct(F.struct(F.expr(CRASH.replace("chr(92)", "char(92)")).alias("path"), F.expr(MESSAGE).alias("message")).alias("crash"))
+    outcome = F.when(F.col("l_returnflag") == "N", "passed").when(F.col("l_returnflag") == "R", "failed").otherwise("error")
+    # Tests of odd lines crash when they are called, the others when they are set up.
+    called = F.col("l_linenumber") % 2 == 1
+    one = F.struct("l_linenumber", "l_suppkey", outcome.alias("outcome"), F.when(called, crash).alias("call"), F.when(~called, crash).alias("setup"))
+    runs = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("tests"))).alias("report"))
+    return runs.select("l_orderkey", reports.failure_signature("report").alias("s")).select("l_orderkey", "s.*")
+
+
+# ----------------------------------------------------- diffs and names in text --
+
+# One reply an order: a hunk of its lines. Some have no closing mark, some two blocks, some a header that counts wrong.
+HUNK_LINES = """changed AS (SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, CASE min(l_returnflag) WHEN 'N' THEN ' ' WHEN 'R' THEN '-' ELSE '+' END AS op,
+  CASE WHEN l_suppkey % 5 = 0 THEN '-- S' ELSE 'S' END || l_suppkey AS text FROM lineitem GROUP BY 1, 2, 3),
+placed AS (SELECT *, row_number() OVER w AS rn, count(*) FILTER (WHERE op <> '+') OVER w AS olds, count(*) FILTER (WHERE op <> '-') OVER w AS news FROM changed WINDOW w AS (PARTITION BY o ORDER BY n, s)),
+reply AS (SELECT o, arg_max(op, rn) AS last_op FROM placed GROUP BY 1),
+verdict AS (SELECT o, CASE WHEN o % 7 = 0 THEN 'no diff block' WHEN o % 11 = 0 THEN 'more than one diff block' WHEN o % 5 = 0 AND last_op <> ' ' THEN 'hunk shorter or longer than its header' END AS reason FROM reply)"""
+
+
+def _replies(spark, d):
+    op = F.when(F.min("l_returnflag") == "N", " ").when(F.min("l_returnflag") == "R", "-").otherwise("+")
+    text = F.concat(F.when(F.col("l_suppkey") % 5 == 0, "-- S").otherwise("S"), F.col("l_suppkey").cast("string"))
+    changed = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_linenumber", "l_suppkey").agg(op.alias("op")).withColumn("text", text)
+    whole = changed.groupBy("o").agg(
+        F.count_if(F.col("op") != "+").alias("olds"), F.count_if(F.col("op") != "-").alias("news"),
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", F.concat("op", "text").alias("t")))).alias("lines"),
+    )
+    path = F.concat(F.lit("src/o"), F.col("o").cast("string"), F.lit(".py"))
+    said = F.col("olds") + F.when(F.col("o") % 5 == 0, 1).otherwise(0)
+    # Every third file is deleted.
+    after = F.when(F.col("o") % 3 == 0, F.lit("/dev/null")).otherwise(F.concat(F.lit("b/"), path))
+    head = F.format_string("--- a/%s\n+++ %s\n@@ -10,%d +20,%d @@\n", path, after, said, F.col("news"))
+    block = F.concat(F.lit("<<<DIFF\n"), head, F.array_join(F.transform("lines", lambda x: x["t"]), "\n"), F.lit("\n"), F.when(F.col("o") % 7 == 0, "").otherwise("DIFF>>>\n"))
+    return whole.select("o", F.concat(F.lit("Here it is.\n"), block, F.when(F.col("o") % 11 == 0, block).otherwise("")).alias("text"))
+
+
+@query(f"""WITH {HUNK_LINES} SELECT o, CASE WHEN reason IS NULL THEN 'ok' ELSE 'unparseable' END AS verdict, reason,
+  CASE WHEN o % 7 <> 0 AND o % 11 <> 0 THEN 'src/o' || o || '.py' END AS paths FROM verdict""")
+def diff_verdicts(spark, d):
+    return diffs.read_diffs(_replies(spark, d), "o")[0].withColumn("paths", F.array_join("paths", ","))
+
+
+@query(f"""WITH {HUNK_LINES} SELECT p.o, 1 AS hunk_id, 2 + rn AS pos, 'src/o' || p.o || '.py' AS path, op, text,
+  CASE WHEN op <> '+' THEN 9 + olds END AS old_no, CASE WHEN op <> '-' THEN 19 + news END AS new_no FROM placed p JOIN verdict v ON v.o = p.o WHERE v.reason IS NULL""")
+def diff_lines(spark, d):
+    return diffs.read_diffs(_replies(spark, d), "o")[1]
+
+
+@query("""WITH code AS (SELECT 'src/o' || l_orderkey || '.py' AS path, l_linenumber AS n, l_suppkey AS s, min(l_returnflag) AS flag FROM lineitem WHERE l_orderkey % 20 <> 0 GROUP BY 1, 2, 3),
+imp AS (SELECT path, s % 4 AS head, arg_max(CASE WHEN s % 3 < 2 THEN 'lib.m' || (s % 5) ELSE 'h' || (s % 4) END, n * 1000000 + s) AS bound FROM code WHERE flag = 'A' AND s % 17 <> 0 GROUP BY 1, 2),
+look AS (SELECT c.path, n AS line, CASE WHEN n % 2 = 0 THEN 'f' || (s % 6) END AS name, bound || CASE WHEN s % 8 >= 4 THEN '.sub' ELSE '' END AS module
+  FROM code c JOIN imp i ON i.path = c.path AND i.head = s % 4 WHERE flag = 'R'),
+removed AS (SELECT DISTINCT 'lib.m' || (s_suppkey % 5) || CASE WHEN s_suppkey % 2 = 1 THEN '.sub' ELSE '' END AS module, 'f' || (s_suppkey % 4) AS name FROM supplier),
+strong AS (SELECT DISTINCT l.path, l.line, l.name, l.module FROM look l JOIN removed r ON r.module = l.module AND r.name = l.name),
+medium AS (SELECT DISTINCT c.path, c.n AS line, r.name, r.module FROM code c JOIN removed r ON r.name = 'f' || (c.s % 6) JOIN look k ON k.path = c.path AND k.module = r.module AND k.name IS NULL WHERE c.flag = 'N')
+SELECT *, 'strong' AS strength FROM strong UNION ALL SELECT *, 'medium' FROM (SELECT * FROM medium EXCEPT SELECT * FROM strong)""")
+def stale_references(spark, d):
+    # Lines that were added import, those that were removed look a name up, the others hold it as a string. Tests do not count.
+    s, n, flag = F.col("l_suppkey"), F.col("l_linenumber"), F.col("flag")
+    lines = b.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.min("l_returnflag").alias("flag"))
+    head, word, lib = b.tag("h", s % 4), b.tag("f", s % 6), b.tag("m", s % 5)
+    facts = lines.select(
+        b.graph(), F.concat(F.when(F.col("l_orderkey") % 20 == 0, "src/tests/o").otherwise("src/o"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"),
+        n.alias("line"), (n * 1000000 + s).alias("ord"), F.when(flag == "A", "import").when(flag == "R", "lookup").otherwise("literal").alias("fact"),
+        F.when(flag == "A", head).when((flag == "R") & (n % 2 == 1), F.lit(None)).otherwise(word).alias("name"),
+        F.when(s % 3 == 0, "member").when(s % 3 == 1, "renamed").otherwise("plain").alias("kind"),
+        F.concat(F.when(s % 17 == 0, ".").otherwise(""), F.when(s % 3 == 0, F.lit("lib")).when(s % 3 == 1, F.concat(F.lit("lib."), lib)).otherwise(head)).alias("module"),
+        F.when(s % 3 == 0, lib).alias("symbol"), F.concat(head, F.when(s % 8 >= 4, ".sub").otherwise("")).alias("receiver"),
+    )
+    gone = b.table(spark, d, "supplier").select(
+        b.graph(), F.concat(b.tag("lib.m", F.col("s_suppkey") % 5), F.when(F.col("s_suppkey") % 2 == 1, ".sub").otherwise("")).alias("module"), b.tag("f", F.col("s_suppkey") % 4).alias("name")
+    ).distinct()
+    return interface.stale_references(facts, gone).drop("graph_id")
+
+
 # ------------------------------------------------------------------ replies --
 
 TRIMMED = rf"regexp_replace(regexp_replace(text, '^{tx.SPACE}', ''), '{tx.SPACE}$', '')"
