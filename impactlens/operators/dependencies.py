@@ -122,15 +122,53 @@ def plan_violations(tasks: DataFrame, deps: DataFrame, radius: DataFrame, max_ta
     ])
 
 
-def cycles(deps: DataFrame) -> DataFrame:
-    """(job_id, seq) of tasks on a cycle or leading into one: what is left once finished tasks are peeled off."""
-    left = materialise(deps.select("job_id", "seq", "needs").distinct())
-    size = left.count()
+def _core(edges: DataFrame) -> DataFrame:
+    """The edges (job_id, seq, needs) that neither hang off the end of a chain nor start one: those on cycles and on paths between cycles."""
+    size = edges.count()
     while size:
-        waiting = left.select("job_id", F.col("seq").alias("needs")).distinct()
-        left = materialise(left.join(waiting, ["job_id", "needs"], "left_semi"))
-        shrunk = left.count()
-        if shrunk == size:
+        waiting, waited = edges.select("job_id", F.col("seq").alias("needs")).distinct(), edges.select("job_id", F.col("needs").alias("seq")).distinct()
+        edges = materialise(edges.join(waiting, ["job_id", "needs"], "left_semi").join(waited, ["job_id", "seq"], "left_semi"))
+        before, size = size, edges.count()
+        if size == before:
             break
-        size = shrunk
-    return left.select("job_id", "seq").distinct()
+    return edges
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(job_id, seq, colour): the largest task of the job from which one is reached, itself included; only changed colours go on."""
+    ends = edges.select("job_id", "seq").union(edges.select("job_id", "needs")).distinct()
+    state = materialise(ends.withColumn("colour", F.col("seq")).withColumn("_changed", F.lit(True)))
+    while not state.filter("_changed").isEmpty():
+        told = state.filter("_changed").join(edges, ["job_id", "seq"]).groupBy("job_id", F.col("needs").alias("seq")).agg(F.max("colour").alias("_told"))
+        state = materialise(state.join(told, ["job_id", "seq"], "left").select(
+            "job_id", "seq", F.greatest("colour", "_told").alias("colour"), F.coalesce(F.col("_told") > F.col("colour"), F.lit(False)).alias("_changed")
+        ))
+    return state.drop("_changed")
+
+
+def cycles(deps: DataFrame) -> DataFrame:
+    """(job_id, seq) of the tasks on a cycle, by forward-backward colouring; what only leads into a cycle or out of one is not named.
+
+    Ends of chains are peeled from both sides. A colour is the largest task that reaches one; the tasks of a colour that reach its
+    namesake are one strongly connected component, and no component has two colours. So edges between colours and the components
+    found go, and the rest is coloured again. A task that needs itself is on a cycle; rows with a null count as no dependency. A
+    peeling or colouring takes a round per step of the longest chain it follows, for all jobs at once.
+    """
+    left = materialise(deps.select("job_id", "seq", "needs").dropna().distinct())
+    found = [left.filter("seq = needs").select("job_id", "seq")]
+    left = _core(materialise(left.filter("seq <> needs")))
+    while not left.isEmpty():
+        colours = _coloured(left)
+        of_need = colours.select("job_id", F.col("seq").alias("needs"), F.col("colour").alias("_colour"))
+        inner = materialise(left.join(colours, ["job_id", "seq"]).join(of_need, ["job_id", "needs"]).filter("colour = _colour").select("job_id", "seq", "needs"))
+        fresh = component = materialise(colours.filter("seq = colour").select("job_id", "seq"))
+        while not fresh.isEmpty():
+            onward = fresh.withColumnRenamed("seq", "needs").join(inner, ["job_id", "needs"]).select("job_id", "seq").distinct()
+            fresh = materialise(onward.join(component, ["job_id", "seq"], "left_anti"))
+            component = component.unionByName(fresh)
+        # A namesake that no other task of its colour leads back to is alone.
+        back = inner.join(component, ["job_id", "seq"], "left_semi").join(component.withColumnRenamed("seq", "needs"), ["job_id", "needs"], "left_semi")
+        found.append(materialise(back.select("job_id", "seq").distinct()))
+        rest = inner.join(component, ["job_id", "seq"], "left_anti").join(component.withColumnRenamed("seq", "needs"), ["job_id", "needs"], "left_anti")
+        left = _core(materialise(rest))
+    return reduce(DataFrame.unionByName, found).distinct()

@@ -256,6 +256,22 @@ def waves(spark, d):
     return dep.order_waves(tasks, b.task_dep(spark, d))
 
 
+# Tasks 1 to 3 wait for each other in a ring, 5 and 6 for each other; 4 leads from the second ring to the first, 7 and up into the second.
+RING = """CASE WHEN l_linenumber <= 3 THEN l_linenumber % 3 + 1 WHEN l_linenumber = 4 THEN 3 WHEN l_linenumber IN (5, 6) THEN 11 - l_linenumber ELSE l_linenumber - 1 END"""
+
+
+@query(f"""WITH RECURSIVE need AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS seq, {RING} AS needs FROM lineitem
+  UNION SELECT l_orderkey, 5, 4 FROM lineitem WHERE l_linenumber = 5 UNION SELECT l_orderkey, l_linenumber, l_linenumber FROM lineitem WHERE l_suppkey % 50 = 0),
+reach AS (SELECT o, seq, needs FROM need UNION SELECT r.o, r.seq, n.needs FROM reach r JOIN need n ON n.o = r.o AND n.seq = r.needs)
+SELECT 'o' || o AS job_id, seq FROM reach WHERE seq = needs""")
+def plan_cycles(spark, d):
+    lines = b.table(spark, d, "lineitem").select(b.tag("o", "l_orderkey").alias("job_id"), F.col("l_linenumber").alias("seq"), F.expr(RING).alias("ring"), "l_suppkey")
+    ring = lines.select("job_id", "seq", F.col("ring").alias("needs"))
+    bridge = lines.filter("seq = 5").select("job_id", "seq", F.lit(4).alias("needs"))
+    own = lines.filter("l_suppkey % 50 = 0").select("job_id", "seq", F.col("seq").alias("needs"))
+    return dep.cycles(ring.union(bridge).union(own))
+
+
 @query(f"""WITH {b.RUN_TASK}, {b.TASK_DEP}, raw AS (SELECT 'o' || l_orderkey AS job_id, l_linenumber AS seq, 'p' || l_partkey AS target_file FROM lineitem)
 SELECT job_id, 'duplicate seq' AS rule, seq FROM raw GROUP BY job_id, seq HAVING count(*) > 1
 UNION ALL SELECT job_id, 'too many tasks', NULL FROM raw GROUP BY job_id HAVING count(*) > 7

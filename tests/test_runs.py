@@ -292,6 +292,23 @@ def test_removals_and_moves(spark, rows):
     assert rows(checks.moved_symbols(declared, after, ["job_id"]), "name") == [("told",)]
 
 
+def test_cycles_of_random_plans(spark, rows):
+    draw = random.Random(11)
+    deps = [(f"j{j}", draw.randrange(12), draw.randrange(12)) for j in range(40) for _ in range(draw.randrange(2, 18))]
+    # Two rings with a path between them, a tail into the first and one out of the second, a task that needs itself, rows with nulls.
+    deps += [("two", 1, 2), ("two", 2, 1), ("two", 2, 3), ("two", 3, 4), ("two", 4, 5), ("two", 5, 4), ("two", 9, 8), ("two", 8, 1), ("two", 5, 6), ("two", 6, 7)]
+    deps += [("own", 3, 3), ("own", 4, 3), ("gap", None, 1), ("gap", 1, None), (None, 1, 1)]
+    want = set()
+    for job in {d[0] for d in deps if None not in d}:
+        reach = {(a, b) for j, a, b in deps if j == job and a is not None and b is not None}
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        want |= {(job, a) for a, b in reach if a == b}
+    assert {("two", 1), ("two", 5), ("own", 3)} <= want and not {("two", 3), ("two", 8), ("two", 6)} & want
+    assert rows(dependencies.cycles(frame(spark, "job_id STRING, seq INT, needs INT", *deps)), "job_id", "seq") == sorted(want, key=repr)
+    assert dependencies.cycles(frame(spark, "job_id STRING, seq INT, needs INT", ("j", 2, 1), ("j", 3, 2))).isEmpty()
+
+
 def test_plan_gaps(spark, rows):
     files = frame(spark, "job_id STRING, path STRING", ("j", "src/A.py"), ("j", "src/b.py"), ("j", "src/c.py"))
     got = checks.plan_gaps(files, frame(spark, "job_id STRING, path STRING", ("j", "src/c.py")), frame(spark, "job_id STRING, note STRING", ("j", "skip a.PY"), ("j", "x"), ("j", None)),
