@@ -96,21 +96,22 @@ def read_span(lines: DataFrame, spans: DataFrame, keys: list[str], cap: int | No
     return read.fillna({"total_lines": 0, "text": ""}).drop("_stop")
 
 
-def entity(symbols: DataFrame, lines: DataFrame, name: str, limit: int = 5, cap: int | None = SPAN_LIMIT) -> DataFrame:
-    """Up to ``limit`` symbols of a name per graph, each with its source of at most ``cap`` lines (or whole) and the full count.
+def entity(symbols: DataFrame, lines: DataFrame, name: str, limit: int | None = 5, cap: int | None = SPAN_LIMIT) -> DataFrame:
+    """Up to ``limit`` symbols of a name per graph (or all of them), each with its source of at most ``cap`` lines (or whole) and the full count.
 
     ``truncated`` tells of symbols left out, ``source_truncated`` of lines: the symbol goes on where its source was cut.
     """
     found = find_symbols(symbols, name)
     counts = found.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
     first, last, _ = _bounds("line_start", "line_end", cap)
-    shown = first_rows(found, ["graph_id"], [F.col("path"), F.col("line_start"), F.col("fqn")], limit).select(
+    first_few = found if limit is None else first_rows(found, ["graph_id"], [F.col("path"), F.col("line_start"), F.col("fqn")], limit)
+    shown = first_few.select(
         "graph_id", "fqn", "path", "line_start", "line_end", first.alias("start"), last.alias("_stop")
     )
     span = ["graph_id", "path", "start", "_stop"]
     source = _gathered(lines, shown.select(*span).distinct(), ["graph_id", "path"]).withColumnRenamed("text", "source")
     return (
         shown.join(source, span).join(counts, "graph_id")
-        .withColumn("total_lines", F.coalesce("total_lines", F.lit(0))).withColumn("truncated", F.col("total") > limit)
+        .withColumn("total_lines", F.coalesce("total_lines", F.lit(0))).withColumn("truncated", F.lit(False) if limit is None else F.col("total") > limit)
         .withColumn("source_truncated", F.coalesce(F.col("_stop") < F.least("line_end", "total_lines"), F.lit(False))).drop("start", "_stop", "end")
     )

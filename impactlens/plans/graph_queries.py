@@ -306,22 +306,22 @@ def entity(spark, d):
     return trees.entity(symbols, lines, "src3").select("fqn", "total", "truncated", "source", "total_lines", "source_truncated")
 
 
-@query(f"""WITH {b.LINE}, found AS (SELECT doc_id, lang || '.d' || doc_id || '.' || source AS fqn FROM documents WHERE source = 'src4')
-SELECT p.fqn, (SELECT count(*) FROM found) AS total, false AS truncated, string_agg(l.text, chr(10) ORDER BY l.line_no) AS source, count(*) AS total_lines, false AS source_truncated
+@query(f"""WITH {b.LINE}, found AS (SELECT doc_id, lang || '.d' || doc_id || '.' || source AS fqn, count(*) OVER (PARTITION BY lang) AS total FROM documents WHERE source = 'src4')
+SELECT p.fqn, p.total, false AS truncated, string_agg(l.text, chr(10) ORDER BY l.line_no) AS source, count(*) AS total_lines, false AS source_truncated
 FROM found p JOIN line l ON l.doc_id = p.doc_id GROUP BY ALL""")
 def entity_whole(spark, d):
-    # No symbol and no line is left out.
-    symbols, lines = _text_symbols(spark, d)
-    return trees.entity(symbols, lines, "src4", limit=2**31 - 2, cap=None).select("fqn", "total", "truncated", "source", "total_lines", "source_truncated")
+    # Each language is a graph; no symbol and no line is left out.
+    symbols, lines = _text_symbols(spark, d, F.col("lang").alias("graph_id"))
+    return trees.entity(symbols, lines, "src4", limit=None, cap=None).select("fqn", "total", "truncated", "source", "total_lines", "source_truncated")
 
 
-def _text_symbols(spark, d):
+def _text_symbols(spark, d, graph=None):
     """Every text as one file with one symbol, and the lines of the texts."""
     symbols = b.table(spark, d, "documents").select(
-        b.graph(), F.concat(F.col("lang"), F.lit(".d"), F.col("doc_id").cast("string"), F.lit("."), F.col("source")).alias("fqn"),
+        b.graph() if graph is None else graph, F.concat(F.col("lang"), F.lit(".d"), F.col("doc_id").cast("string"), F.lit("."), F.col("source")).alias("fqn"),
         F.col("source").alias("name"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line_start"), F.lit(1_000_000).alias("line_end"),
     )
-    return symbols, b.line(spark, d).select(b.graph(), F.col("doc_id").cast("string").alias("path"), "line_no", "text")
+    return symbols, b.line(spark, d).select(b.graph() if graph is None else graph, F.col("doc_id").cast("string").alias("path"), "line_no", "text")
 
 
 @query(f"""WITH {b.LINE}, hit AS (SELECT *, line_no BETWEEN 2 AND 4 AS inside FROM line)
