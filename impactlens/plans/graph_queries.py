@@ -319,7 +319,7 @@ def _text_symbols(spark, d, graph=None):
     """Every text as one file with one symbol, and the lines of the texts."""
     symbols = b.table(spark, d, "documents").select(
         b.graph() if graph is None else graph, F.concat(F.col("lang"), F.lit(".d"), F.col("doc_id").cast("string"), F.lit("."), F.col("source")).alias("fqn"),
-        F.col("source").alias("name"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line_start"), F.lit(1_000_000).alias("line_end"),
+        F.col("source").alias("name"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line_start"), F.lit(2**31 - 1).alias("line_end"),
     )
     return symbols, b.line(spark, d).select(b.graph() if graph is None else graph, F.col("doc_id").cast("string").alias("path"), "line_no", "text")
 
