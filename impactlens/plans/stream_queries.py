@@ -16,11 +16,32 @@ from impactlens.streaming import fold, guards, ordered
 FORGET = "36500 days"
 
 
+#: Rows that a file of a drop should hold.
+FILE_ROWS = 1_000_000
+
+
+def _laid(rows: DataFrame, drops: int) -> DataFrame:
+    """A stream of stored rows, in the order of their ``_drop``, one whole drop a trigger.
+
+    Every drop has the same number of files, so that no trigger ends inside one: the watermark would pass rows of its later files.
+    """
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "stream-in")
+    sizes = dict(rows.groupBy("_drop").count().collect())
+    files = 1 + max(sizes.values(), default=0) // FILE_ROWS
+    for number in range(drops):
+        rows.filter(F.col("_drop") == number).repartition(files).write.mode("append").parquet(folder)
+        # Empty partitions leave no file: the drop is made up with empty ones.
+        for _ in range((number + 1) * files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def _dropped(rows: DataFrame) -> tuple[DataFrame, str]:
     """The rows of a log (job_id, seq, ts, kind, ...) as a stream of four drops that overlap, and the lateness that covers the overlap.
 
     A row comes up to a fifth of the log's time late, one in five comes again in the next drop, and numbers are mixed inside a drop.
-    The fifth drop has heartbeats only, one of each kind that a join may wait for, after which nothing is held back.
+    The fifth drop has heartbeats only, one of each kind that a join may wait for, after which nothing is held back. ``_drop`` is
+    the number of the drop.
     """
     spark = rows.sparkSession
     low, high = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
@@ -29,20 +50,14 @@ def _dropped(rows: DataFrame) -> tuple[DataFrame, str]:
     late = span // 5
     drop = F.floor(4 * (F.unix_millis("ts") - low + F.pmod(F.xxhash64("job_id", "seq"), F.lit(late + 1))) / (span + late + 1)).cast("int")
     again = F.pmod(F.xxhash64("seq", "job_id", F.lit("again")), F.lit(5)) == 0
-    placed = materialise(rows.withColumn("_drop", F.explode(F.array_distinct(F.array(drop, F.least(drop + again.cast("int"), F.lit(3)))))))
-    folder = new_folder(spark, "stream-in")
-    for number in range(4):
-        placed.filter(F.col("_drop") == number).drop("_drop").write.mode("append").parquet(folder)
+    placed = rows.withColumn("_drop", F.explode(F.array_distinct(F.array(drop, F.least(drop + again.cast("int"), F.lit(3))))))
     beats = spark.createDataFrame([(ordered.HEARTBEAT, k) for k in ("attempt.started", "attempt.verdict")], "job_id STRING, kind STRING")
     nulls = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema if f.name not in ("job_id", "kind")}
-    beats = beats.withColumns(nulls).withColumns({"seq": F.lit(-1).cast("long"), "ts": F.timestamp_millis(F.lit(high + 2 * span))})
+    beats = beats.withColumns(nulls).withColumns({"seq": F.lit(-1).cast("long"), "ts": F.timestamp_millis(F.lit(high + 2 * span)), "_drop": F.lit(4)})
     if "payload" in rows.columns:
         # Filters for join keys that are not null run before the watermark: a heartbeat must pass them.
         beats = beats.withColumn("payload", F.lit('{"attempt_id": "heartbeat"}'))
-    beats.coalesce(1).select(*rows.columns).write.mode("append").parquet(folder)
-    files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 5)).parquet(folder)
-    return stream, f"{late // 1000 + 1} seconds"
+    return _laid(materialise(placed.unionByName(beats)), 5), f"{late // 1000 + 1} seconds"
 
 
 def _finished(stream: DataFrame) -> DataFrame:
@@ -128,12 +143,8 @@ def stream_ledger(spark, d):
 
 
 def _replayed(stream: DataFrame) -> DataFrame:
-    """A stream over what another stream has put out, one file a trigger or so."""
-    out = _finished(stream)
-    spark, folder = stream.sparkSession, out.inputFiles()
-    if not folder:
-        return spark.readStream.schema(stream.schema).parquet(new_folder(spark, "empty", make=True))
-    return spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", max(1, len(folder) // 4)).parquet(folder[0].rsplit("/", 1)[0])
+    """A stream over what another stream has put out, drop by drop."""
+    return _laid(_finished(stream), 5)
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, event_type AS kind, props AS payload FROM events WHERE event_id > 100""")

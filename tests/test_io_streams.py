@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from impactlens.operators import timeline
 from impactlens.plans import stream_queries
 from impactlens.schemas import schema_of
+from impactlens.session import materialise
 from impactlens.sources import artifacts, diffs, events
 from impactlens.streaming import fold, guards
 
@@ -254,3 +255,19 @@ def test_scratch_tables_can_be_cleared(spark):
     rest, session._WRITTEN[spark.sparkContext.applicationId] = ours[:-1], ours[-1:]
     assert session.clear_scratch(spark) == 1 and not any(f.exists() for f in files)
     session._WRITTEN[spark.sparkContext.applicationId] = rest
+
+
+def test_drops_of_many_files_come_whole(spark, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 300, raising=False)
+    # Attempts with a verdict each, written by 14 tasks that each go over the whole time.
+    monkeypatch.setattr(stream_queries, "materialise", lambda df: materialise(df).repartition(14))
+    at = F.pmod(F.floor(F.col("id") / 2) * 7919, F.lit(3500)) * 20 + F.col("id") % 2
+    kind = F.when(F.col("id") % 2 == 0, "attempt.started").otherwise("attempt.verdict")
+    payload = F.to_json(F.struct(F.floor(F.col("id") / 2).cast("string").alias("attempt_id"), F.lit("ok").alias("verdict")))
+    log = spark.range(0, 7000, 1, 4).select(
+        F.lit("j").alias("job_id"), F.col("id").alias("seq"), F.timestamp_seconds(F.lit(1_700_000_000) + at).alias("ts"), kind.alias("kind"), payload.alias("payload")
+    )
+    stream, lateness = stream_queries._dropped(log)
+    once = stream_queries._replayed(fold.each_once(stream, lateness=lateness))
+    done = stream_queries._finished(fold.open_attempts(once, lateness, "1 minute")).filter("job_id = 'j'")
+    assert done.groupBy("verdict").count().collect() == [("ok", 3500)]
