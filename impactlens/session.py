@@ -71,7 +71,8 @@ def store(df: DataFrame, *partition_by: str) -> str:
     """Writes a table of its own to the shared folder and returns its full path; ``clear_scratch`` deletes it."""
     path = new_folder(df.sparkSession, "table")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    # Read back once or twice, so size counts more than speed.
+    writer.parquet(path, compression="zstd")
     return path
 
 

@@ -54,3 +54,12 @@ def test_training_rows_are_bounded(spark, monkeypatch):
     known = spark.createDataFrame([(str(i), y) for i, y in labels], "doc_id STRING, quality INT")
     rows = quality.classify(table, known, sample=200).collect()
     assert len(rows) == 2 * len(docs) and 100 < taken[0] < 300
+
+
+def test_scratch_tables_are_packed_tightly(spark):
+    import pyarrow.dataset as ds
+
+    from impactlens.session import store
+
+    files = ds.dataset(store(spark.range(1000)).removeprefix("file:"), format="parquet").get_fragments()
+    assert {f.metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
