@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,3 +412,18 @@ def test_schemas_evolve_and_check(spark):
     bad = frame(spark, "graph_id STRING, test_path STRING, symbol STRING, nodeid STRING, source STRING", ("g", "t", "s", "n", "hearsay"))
     with pytest.raises(Exception, match="hearsay"):
         checked(bad, "test_edge").collect()
+
+
+def test_common_terms_are_added_up_in_slices():
+    import tracemalloc
+
+    # 200 documents and 200 queries share 200 terms: 8 million meetings, 40,000 cells.
+    drawn = np.random.default_rng(1).random((400, 200)) + 0.1
+    rows = pd.DataFrame({"at": [np.arange(200)] * 400, "w": list(drawn)})
+    tracemalloc.start()
+    got = search.cosines(rows[:200], rows[200:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = drawn / np.sqrt((drawn * drawn).sum(axis=1))[:, None]
+    assert np.allclose(got, unit[:200] @ unit[200:].T)
+    assert peak < 60_000_000
