@@ -427,3 +427,14 @@ def test_common_terms_are_added_up_in_slices():
     unit = drawn / np.sqrt((drawn * drawn).sum(axis=1))[:, None]
     assert np.allclose(got, unit[:200] @ unit[200:].T)
     assert peak < 60_000_000
+
+
+def test_retrieval_shuffles_texts_not_their_terms(spark, rows):
+    docs = spark.createDataFrame([(1, "apple pear apple"), (2, "pear plum"), (3, None), (4, "apple plum plum"), (4, "plum"), (5, "of")] + [(i, "w%d" % i) for i in range(6, 12)], "doc INT, text STRING")
+    counted = search._counted(docs, "doc")
+    got = {r.doc: (sorted(r.tf), r.copies) for r in counted.collect()}
+    assert got[1] == ([1, 2], 1) and got[3] == ([], 1) and got[4] == ([1, 3], 2) and len(got) == 11
+    plan = search._counted(docs, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    top = rows(search.similar_docs(docs, spark.createDataFrame([(1, "plum"), (2, "zzz")], "q INT, text STRING"), "doc", "q", k=2), "q", "doc")
+    assert top == [(1, 4), (1, 4)]
