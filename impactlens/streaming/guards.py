@@ -80,19 +80,22 @@ BUDGET_ROW = "job_id STRING, seq BIGINT, op STRING, granted BOOLEAN, spent BIGIN
 
 
 def _judged(batch: pd.DataFrame, balances: dict[str, int], refused: set) -> pd.DataFrame:
-    out = []
-    for row in batch.itertuples(index=False):
-        spent = balances.get(row.job_id, 0)
-        follows_refusal = row.op in ("settle", "release") and (row.job_id, row.call_id) in refused
+    columns = ["job_id", "op", "call_id", "estimate", "actual", "budget"]
+    spents, grants, left = [], [], []
+    for job, op, call, estimate, actual, budget in zip(*[batch[c].tolist() for c in columns], strict=True):
+        spent = balances.get(job, 0)
+        follows_refusal = op in ("settle", "release") and (job, call) in refused
         if follows_refusal:
             granted = False
         else:
-            spent, granted = _judge(spent, row.budget, row.op, row.estimate, row.actual)
-        if row.op == "reserve" and not granted and row.call_id is not None:
-            refused.add((row.job_id, row.call_id))
-        balances[row.job_id] = spent
-        out.append((row.job_id, row.seq, row.op, granted, spent, max(0, row.budget - spent)))
-    return pd.DataFrame(out, columns=["job_id", "seq", "op", "granted", "spent", "remaining"])
+            spent, granted = _judge(spent, budget, op, estimate, actual)
+        if op == "reserve" and not granted and call is not None:
+            refused.add((job, call))
+        balances[job] = spent
+        spents.append(spent)
+        grants.append(granted)
+        left.append(max(0, budget - spent))
+    return batch[["job_id", "seq", "op"]].assign(granted=np.array(grants, dtype=bool), spent=spents, remaining=left)
 
 
 class _Refused:
