@@ -33,19 +33,28 @@ def order_waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
         remaining = materialise(rest.select("job_id", "seq", "target_file", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
 
 
+def _onward(walks: DataFrame, paths: DataFrame, near: list[str], far: list[str]) -> DataFrame:
+    """Each of ``walks`` with each of ``paths`` that starts where it ends."""
+    after = paths.select("job_id", F.col("seq").alias("needs"), F.col("needs").alias("_far"), *[F.col(c).alias(f"_{c}") for c in far])
+    return walks.select("job_id", "seq", "needs", *near).join(after, ["job_id", "needs"]).select(
+        "job_id", "seq", F.col("_far").alias("needs"), *near, *[F.col(f"_{c}").alias(c) for c in far]
+    )
+
+
 def _walk(edges: DataFrame, near: list[str], far: list[str]) -> DataFrame:
     """All (job_id, seq, needs) that can be reached; ``near`` columns stay with seq, ``far`` ones with needs.
 
-    Path doubling where only the pairs of the last round are extended: a pair 2^r + d steps apart has a point 2^r steps from
-    its start, which the last round found. Rounds grow with the logarithm of the depth.
+    Path doubling: a walk of 2^r + d steps is one of exactly 2^r and one of d, so the walks of exactly 2^r steps are extended by
+    all pairs found, and a pair with one walk is found once. Rounds grow with the logarithm of the depth; where a round finds
+    nothing new, no longer walk does, so cycles end too.
     """
     pair = ["job_id", "seq", "needs"]
-    columns = [*pair, *near, *far]
-    fresh = paths = materialise(edges.select(*columns).dropDuplicates(pair))
-    while not fresh.isEmpty():
-        onward = paths.select("job_id", F.col("seq").alias("needs"), F.col("needs").alias("_far"), *[F.col(c).alias(f"_{c}") for c in far])
-        longer = fresh.join(onward, ["job_id", "needs"]).select("job_id", "seq", F.col("_far").alias("needs"), *near, *[F.col(f"_{c}").alias(c) for c in far])
-        fresh = materialise(longer.dropDuplicates(pair).join(paths, pair, "left_anti").select(*columns))
+    whole = paths = materialise(edges.select(*pair, *near, *far).dropDuplicates(pair))
+    while not whole.isEmpty():
+        fresh = materialise(_onward(whole, paths, near, far).dropDuplicates(pair).join(paths, pair, "left_anti").select(*paths.columns))
+        if fresh.isEmpty():
+            break
+        whole = materialise(_onward(whole, whole, near, far).dropDuplicates(pair))
         paths = paths.unionByName(fresh)
     return paths
 

@@ -1,5 +1,6 @@
 """What a task holds, and what is shuffled, must not grow faster than the tables."""
 
+from impactlens.operators import dependencies as dep
 from impactlens.operators import radius as rad
 from impactlens.plans import skew
 from tests.test_plans import SF, plan
@@ -41,6 +42,20 @@ def test_edges_of_a_level_meet_before_they_are_added_up(spark, rows, monkeypatch
     assert ("g", "t1", "a1", 1, 2, True) in found and ("g", "t1", "b", 2, 1, False) in found and ("g", "t2", "b", 2, 1, True) in found
 
 
+def test_a_chain_of_tasks_meets_each_pair_once(spark, rows):
+    chain = spark.range(1, 40).selectExpr("'j' AS job_id", "CAST(id AS INT) AS seq", "CAST(id - 1 AS INT) AS needs")
+    met = []
+    onward = dep._onward
+    dep._onward = lambda walks, paths, near, far: met.append(onward(walks, paths, near, far)) or met[-1]
+    try:
+        assert dep.closure(chain).count() == 39 * 40 // 2
+    finally:
+        dep._onward = onward
+    assert sum(df.count() for df in met[::2]) == 39 * 40 // 2 - 39
+    ring = spark.createDataFrame([("j", 1, 2), ("j", 2, 3), ("j", 3, 1), ("j", 9, 1)], "job_id STRING, seq INT, needs INT")
+    assert rows(dep.closure(ring)) == sorted([("j", a, n) for a in (1, 2, 3, 9) for n in (1, 2, 3)], key=repr)
+
+
 def test_supplier_pairs_meet_before_they_are_made_distinct(spark):
     from impactlens.plans import bindings as b
 
