@@ -9,6 +9,7 @@ from impactlens.operators import checks, cleanup, edges, interface, ledger, reso
 from impactlens.plans import bindings as b
 from impactlens.plans.registry import ORACLES, query
 from impactlens.plans.run_queries import PARAMS, params_of
+from impactlens.plans.skew import dealt
 from impactlens.sources import diffs
 from impactlens.sources.tree import file_table
 
@@ -112,7 +113,8 @@ COVER = "cover AS (SELECT l_orderkey, l_suppkey, l_linenumber AS line, bool_or(l
 
 @query(f"WITH {COVER} SELECT l_orderkey, 's' || l_suppkey || '.py' AS path, line, executed FROM cover")
 def coverage_rows(spark, d):
-    lines = b.table(spark, d, "lineitem").withColumn("ran", F.col("l_returnflag") == "N")
+    lines = b.table(spark, d, "lineitem")
+    lines = dealt(lines.select("l_orderkey", "l_suppkey", "l_linenumber", (F.col("l_returnflag") == "N").alias("ran")), ["l_orderkey"], lines.count())
     per_file = lines.groupBy("l_orderkey", "l_suppkey").agg(
         F.collect_list(F.when(F.col("ran"), F.col("l_linenumber"))).alias("executed_lines"), F.collect_list(F.when(~F.col("ran"), F.col("l_linenumber"))).alias("missing_lines")
     )

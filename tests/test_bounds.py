@@ -68,3 +68,7 @@ def test_tests_meet_by_symbol_before_they_are_counted(spark):
     text = plan(QUERIES["covering_by_source"](spark, SF))
     lines = text[text.index("REPARTITION_BY_NUM"):]
     assert "lineitem" in lines and "HashAggregate" not in lines[:lines.index("lineitem")]
+
+
+def test_coverage_of_an_order_is_shuffled_once(spark):
+    assert plan(QUERIES["coverage_rows"](spark, SF)).count("Exchange") == 1
