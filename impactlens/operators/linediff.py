@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,17 +18,15 @@ def line_delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFram
     The n-th copy of a line is partner of the n-th copy over there, so a moved line counts as
     unchanged; ``changed_lines`` is exact about moves. Inputs have (keys, line_no, text).
     """
-    def marked(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, "text", F.col("line_no").alias(name)).withColumn(
-            "_copy", F.row_number().over(W.partitionBy(*keys, "text").orderBy(name))
-        )
-
-    both = marked(before, "_old").join(marked(after, "_new"), [*keys, "text", "_copy"], "full")
-    alone = both.filter(F.col("_old").isNull() | F.col("_new").isNull())
-    return alone.select(
-        *keys, F.when(F.col("_new").isNull(), "before").otherwise("after").alias("side"),
-        F.coalesce("_old", "_new").alias("line"),
-    )
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, "text", F.lit(name).alias("side"), F.col("line_no").alias("line"))
+
+    # Both sides meet once, by their keys and text; where one of these is null, a line has no partner.
+    copy = F.row_number().over(W.partitionBy(*keys, "text", "side").orderBy("line"))
+    both = side(before, "before").unionByName(side(after, "after")).repartition(*keys, "text").withColumn("_copy", copy)
+    partners = F.count(F.lit(1)).over(W.partitionBy(*keys, "text", "_copy"))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "text"]])
+    return both.withColumn("_partners", partners).filter((F.col("_partners") == 1) | ~known).select(*keys, "side", "line")
 
 
 def changed_lines(pairs: DataFrame, keys: list[str]) -> DataFrame:

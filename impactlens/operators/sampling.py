@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlens.plans.ordering import numbered
+from impactlens.session import materialise
 
 
 def line_runs(lines: DataFrame, keys: list[str], line: str = "line", bounded: bool = False) -> DataFrame:
@@ -55,6 +56,8 @@ def sample_changed(changed: DataFrame, keys: list[str], cap: int) -> DataFrame:
     lines = changed.select(*keys, "path", "line").filter(F.col("path").isNotNull() & F.col("line").isNotNull())
     if cap < 1:
         return lines.limit(0)
+    # Read for the files and again for the runs of those drawn.
+    lines = materialise(lines)
     placed = numbered(lines.select(*keys, "path").distinct(), keys, [F.col("path")])
     drawn = F.least(F.col("n"), F.lit(cap))
     at = (F.array_position(_spots(F.col("n"), F.lit(cap).cast("long")), F.col("rn") - 1) - 1).alias("_at")

@@ -1,9 +1,14 @@
 """What a task holds, and what is shuffled, must not grow faster than the tables."""
 
+import re
+
 from impactlens.operators import dependencies as dep
+from impactlens.operators import linediff, sampling
 from impactlens.operators import radius as rad
-from impactlens.plans import skew
+from impactlens.plans import bindings as b
+from impactlens.plans import run_queries, skew
 from impactlens.plans.catalog import QUERIES
+from impactlens.sources import diffs
 from tests.test_plans import SF, plan
 
 
@@ -58,8 +63,6 @@ def test_a_chain_of_tasks_meets_each_pair_once(spark, rows):
 
 
 def test_supplier_pairs_meet_before_they_are_made_distinct(spark):
-    from impactlens.plans import bindings as b
-
     text = plan(b.call_edge(spark, SF))
     assert "HashAggregate" not in text[text.index("REPARTITION_BY_NUM"):]
 
@@ -72,3 +75,19 @@ def test_tests_meet_by_symbol_before_they_are_counted(spark):
 
 def test_coverage_of_an_order_is_shuffled_once(spark):
     assert plan(QUERIES["coverage_rows"](spark, SF)).count("Exchange") == 1
+
+
+def test_lines_of_both_versions_meet_once(spark, rows):
+    old = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (None, 1, "a"), (2, 1, None)], "doc INT, line_no INT, text STRING")
+    new = spark.createDataFrame([(1, 1, "a"), (1, 2, "c"), (None, 1, "a"), (2, 1, None)], "doc INT, line_no INT, text STRING")
+    out = linediff.line_delta(old, new, ["doc"])
+    assert plan(out).count("Exchange") == 1
+    # What is null has no partner, as in a join.
+    assert rows(out) == sorted([(1, "before", 2), (1, "before", 3), (1, "after", 2), (None, "before", 1), (None, "after", 1), (2, "before", 1), (2, "after", 1)], key=repr)
+
+
+def test_changed_lines_are_found_once_for_a_sample(spark, monkeypatch):
+    seen = kept(monkeypatch, sampling)
+    changed = spark.createDataFrame([("g", "p", 1), ("g", "p", 2), ("g", "q", 7)], "g STRING, path STRING, line INT")
+    assert sampling.sample_changed(changed, ["g"], 10).count() == 3
+    assert [df.columns for df in seen] == [["g", "path", "line"]]
