@@ -189,7 +189,9 @@ verdict AS (SELECT o, CASE WHEN o % 7 = 0 THEN 'no diff block' WHEN o % 11 = 0 T
 def _replies(spark, d):
     op = F.when(F.min("l_returnflag") == "N", " ").when(F.min("l_returnflag") == "R", "-").otherwise("+")
     text = F.concat(F.when(F.col("l_suppkey") % 5 == 0, "-- S").otherwise("S"), F.col("l_suppkey").cast("string"))
-    changed = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_linenumber", "l_suppkey").agg(op.alias("op")).withColumn("text", text)
+    lines = b.table(spark, d, "lineitem")
+    lines = dealt(lines.select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_suppkey", "l_returnflag"), ["o"], lines.count())
+    changed = lines.groupBy("o", "l_linenumber", "l_suppkey").agg(op.alias("op")).withColumn("text", text)
     whole = changed.groupBy("o").agg(
         F.count_if(F.col("op") != "+").alias("olds"), F.count_if(F.col("op") != "-").alias("news"),
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", F.concat("op", "text").alias("t")))).alias("lines"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from impactlens.session import materialise
+
 # The sentinels around a diff, and a bare closing form.
 BLOCK = r"(?s)<<<DIFF\r?\n(.*?)DIFF>>>"
 BARE_BLOCK = r"(?s)<<<DIFF\r?\n(.*?)\r?\n>>>[ \t]*(?:\r?\n|$)"
@@ -37,7 +39,8 @@ def read_diffs(replies: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     op, text, old_no, new_no) of the accepted diffs. A diff is one value of one row, so the windows
     below never see more than one text per group.
     """
-    blocks = replies.select(key, _blocks(F.col("text")).alias("_b"))
+    # Texts are searched once and their lines marked once; verdicts, hunks and lines read what is written here.
+    blocks = materialise(replies.select(key, _blocks(F.col("text")).alias("_b")))
     body = F.regexp_replace(F.get("_b", F.lit(0)), r"^\n+|\n+$", "")
     split = blocks.filter(F.size("_b") == 1).select(key, F.posexplode(F.split(body, "\n")).alias("pos", "text"))
 
@@ -59,6 +62,7 @@ def read_diffs(replies: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     path = F.max(F.when(F.col("_new_file"), F.struct("pos", text.alias("t")))).over(upto)["t"]
     old_path = F.max(F.when(F.col("_old_file"), F.struct("pos", text.alias("t")))).over(upto)["t"]
     marked = marked.withColumn("path", F.coalesce(_clean_path(path), _clean_path(old_path)))
+    marked = materialise(marked)
 
     body_lines = marked.filter(F.col("_opened") & ~F.col("_header") & ~F.col("_new_file"))
     inside = W.partitionBy(key, "hunk_id")

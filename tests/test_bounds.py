@@ -91,3 +91,11 @@ def test_changed_lines_are_found_once_for_a_sample(spark, monkeypatch):
     changed = spark.createDataFrame([("g", "p", 1), ("g", "p", 2), ("g", "q", 7)], "g STRING, path STRING, line INT")
     assert sampling.sample_changed(changed, ["g"], 10).count() == 3
     assert [df.columns for df in seen] == [["g", "path", "line"]]
+
+
+def test_lines_of_replies_are_marked_once(spark, rows, monkeypatch):
+    seen = kept(monkeypatch, diffs)
+    text = "<<<DIFF\n--- a/x.py\n+++ b/x.py\n@@ -1,1 +1,1 @@\n-a\n+b\nDIFF>>>\n"
+    verdicts, lines = diffs.read_diffs(spark.createDataFrame([(1, text), (2, "none")], "o INT, text STRING"), "o")
+    assert rows(verdicts, "o", "verdict") == [(1, "ok"), (2, "unparseable")] and rows(lines, "op", "text") == [("+", "b"), ("-", "a")]
+    assert len(seen) == 2 and "regexp_extract_all" not in plan(lines) + plan(verdicts)
