@@ -97,7 +97,8 @@ def radius_full(spark, d):
         b.graph(), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("path"), (F.col("n_regionkey") == 4).alias("is_test")
     )
     imports = materialise(b.import_edge(spark, d))
-    radius = rad.blast_radius(rad.find_target(symbols, "p1"), symbols, sites, imports, nation, b.test_edge(spark, d))
+    tests = materialise(b.test_edge(spark, d))
+    radius = rad.blast_radius(rad.find_target(symbols, "p1"), symbols, sites, imports, nation, tests)
     return radius.status.drop("graph_id", "target", "status")
 
 

@@ -99,3 +99,14 @@ def test_lines_of_replies_are_marked_once(spark, rows, monkeypatch):
     verdicts, lines = diffs.read_diffs(spark.createDataFrame([(1, text), (2, "none")], "o INT, text STRING"), "o")
     assert rows(verdicts, "o", "verdict") == [(1, "ok"), (2, "unparseable")] and rows(lines, "op", "text") == [("+", "b"), ("-", "a")]
     assert len(seen) == 2 and "regexp_extract_all" not in plan(lines) + plan(verdicts)
+
+
+def test_orders_meet_customers_before_their_lines(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (b.call_site(spark, SF), b.import_edge(spark, SF)):
+            text = plan(df)
+            below = text[text.index("hashpartitioning(o_custkey"):]
+            assert "l_orderkey" not in re.search(r"FileScan parquet \[([^\]]*)", below).group(1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
