@@ -10,6 +10,7 @@ from impactlens.operators import checks, cleanup, interface, ledger as led, outc
 from impactlens.operators import radius as rad
 from impactlens.plans import bindings as b
 from impactlens.plans.registry import ORACLES, query
+from impactlens.plans.skew import dealt
 from impactlens.session import materialise
 from impactlens.sources.events import events_since
 
@@ -575,15 +576,18 @@ def _gate_events(spark, d):
     }
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("payload"), F.lit(1).alias("at")) for k, p in payloads.items()],
                    *[F.struct(F.lit(k).alias("kind"), F.lit("not json").alias("payload"), F.lit(0).alias("at")) for k in payloads])
-    exploded = b.table(spark, d, "orders").select(b.tag("o", "o_orderkey").alias("job_id"), F.col("o_orderkey"), F.explode(rows).alias("_e"))
+    orders = b.table(spark, d, "orders")
+    # An order meets its job before it gives eight events.
+    placed = dealt(orders.select(b.tag("o", "o_orderkey").alias("job_id"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), ["job_id"], orders.count())
+    exploded = placed.select("job_id", "o_orderkey", F.explode(rows).alias("_e"))
     return exploded.filter(F.col("_e.payload").isNotNull()).select(
         "job_id", (F.col("o_orderkey") * 2 + F.col("_e.at")).alias("seq"), F.col("_e.kind").alias("kind"), F.col("_e.payload").alias("payload")
     )
 
 
-def _signals(spark, d):
+def _signals(spark, d, tasks=None):
     parts = b.table(spark, d, "part").select(b.graph(), b.tag("p", "p_partkey").alias("path"), b.tag("p", "p_partkey").alias("fqn"))
-    return out.gather_signals(b.run_job(spark, d), b.run_task(spark, d), _gate_events(spark, d), parts, b.test_edge(spark, d))
+    return out.gather_signals(b.run_job(spark, d), b.run_task(spark, d) if tasks is None else tasks, _gate_events(spark, d), parts, b.test_edge(spark, d))
 
 
 SIGNAL = f"""{b.RUN_JOB}, {b.RUN_TASK}, {b.TEST_EDGE}, {GATE_EVENT},
@@ -649,7 +653,9 @@ def _evidence(spark, d):
     )
     kind = F.when(F.col("kind") == "click", "grounding.searched").when(F.col("kind") == "view", "grounding.skipped").otherwise(F.col("kind"))
     events = b.event(spark, d).withColumn("kind", kind)
-    return out.evidence(b.run_job(spark, d), b.run_task(spark, d), _attempts(spark, d), artifacts, _signals(spark, d), events, _calls(spark, d))
+    # Three parts read the tasks; they are grouped once.
+    tasks = materialise(b.run_task(spark, d))
+    return out.evidence(b.run_job(spark, d), tasks, _attempts(spark, d), artifacts, _signals(spark, d, tasks), events, _calls(spark, d))
 
 
 #: The fields of each section that the query reads back from the documents.
@@ -659,6 +665,7 @@ FACTS = {
     "task": ("seq", "target_file", "state", "discard_reason"), "attempt": ("attempt_id", "n", "verdict", "prompt_tokens"), "artifact": ("artifact_id", "path", "present"),
     "ledger": ("role", "tier", "model", "calls", "billed_tokens"), "grounding": ("seq", "kind", "record"),
 }
+DOCUMENT = "provenance STRUCT<sandbox: STRING, inference: STRING>, " + ", ".join(sorted({f"{f} STRING" for fields in FACTS.values() for f in fields if "." not in f}))
 
 
 @query(f"""WITH {SIGNAL}, {ATTEMPT}, {b.CALL}, {b.EVENT}, verdict AS ({ORACLES["outcome"]}), spend AS (SELECT job_id, count(*) AS n, sum(prompt)::BIGINT AS p, sum(completion)::BIGINT AS c FROM attempt GROUP BY 1)
@@ -676,10 +683,12 @@ UNION ALL SELECT 'o' || l_orderkey, 'artifact', concat_ws('|', 'd' || l_suppkey,
 UNION ALL SELECT job_id, 'ledger', concat_ws('|', role, tier, model, count(*), sum(billed_tokens)::BIGINT) FROM call GROUP BY job_id, role, tier, model
 UNION ALL SELECT job_id, 'grounding', concat_ws('|', seq, CASE kind WHEN 'click' THEN 'searched' ELSE 'skipped' END, payload) FROM event WHERE kind IN ('click', 'view')""")
 def evidence(spark, d):
+    # A document is parsed once, whatever the number of its fields.
+    parsed = _evidence(spark, d).withColumn("_d", F.from_json("document", DOCUMENT))
     facts = F.coalesce(*[
-        F.when(F.col("section") == name, F.concat_ws("|", *[F.get_json_object("document", f"$.{f}") for f in fields])) for name, fields in FACTS.items()
+        F.when(F.col("section") == name, F.concat_ws("|", *[F.col(f"_d.{f}") for f in fields])) for name, fields in FACTS.items()
     ])
-    return _evidence(spark, d).select("job_id", "section", facts.alias("facts"))
+    return parsed.select("job_id", "section", facts.alias("facts"))
 
 
 @query(f"""WITH {b.EVENT} SELECT job_id, seq, CASE kind WHEN 'click' THEN 'searched' ELSE 'skipped' END AS kind, payload AS record FROM event WHERE kind IN ('click', 'view')""")

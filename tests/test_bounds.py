@@ -110,3 +110,13 @@ def test_orders_meet_customers_before_their_lines(spark):
             assert "l_orderkey" not in re.search(r"FileScan parquet \[([^\]]*)", below).group(1)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_orders_meet_by_job_before_they_give_events(spark):
+    text = plan(run_queries._gate_events(spark, SF))
+    assert text.index("Generate") < text.index("REPARTITION_BY_NUM")
+
+
+def test_a_document_is_parsed_once(spark):
+    text = plan(QUERIES["evidence"](spark, SF))
+    assert "get_json_object(document" not in text and "from_json" in text
