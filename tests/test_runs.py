@@ -396,6 +396,51 @@ def test_dense_search_in_blocks(spark, monkeypatch, rows):
     assert {(r[0], r[1]) for r in whole} == {(q, int(i)) for q in range(40) for i in best[q]}
 
 
+def test_dense_search_holds_the_best_of_each_query_only(spark, monkeypatch):
+    import tracemalloc
+
+    class Vectors:
+        """Takes the tasks' function instead of running it."""
+
+        dtypes = [("id", "bigint"), ("score", "double")]
+
+        def mapInPandas(self, run, schema):
+            self.run = run
+            return self
+
+        def drop(self, *names):
+            return self
+
+    monkeypatch.setattr(search, "first_rows", lambda df, *_: df)
+    queries = spark.range(1000).selectExpr("id AS q")
+    # Scores of 0 to 96; the lower ids come last, so that ties must replace what is held.
+    scores = lambda batch, block: ((batch["id"].to_numpy()[:, None] * 31 + block["q"].to_numpy()[None, :]) % 97).astype(float)
+    task = search._top_k(Vectors(), queries, "id", "q", 3, scores)
+    ids = np.arange(1500)[::-1].reshape(150, 10)
+    tracemalloc.start()
+    got = pd.concat(task.run(pd.DataFrame({"id": part}) for part in ids))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 1,000 queries have 3,000 best answers, 72 kB, whatever the number of batches.
+    assert peak < 4_000_000
+    every = np.arange(1500)
+    for q, best in got.groupby("q"):
+        order = np.lexsort((every, -((every * 31 + q) % 97)))[:3]
+        assert list(best["id"]) == list(order)
+    assert len(got) == 3000
+
+
+@pytest.mark.parametrize("most", [1, 50, 10_000])
+def test_dense_search_sends_on_what_it_cannot_hold(spark, monkeypatch, rows, most):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 4)))], "id INT, embedding ARRAY<DOUBLE>").repartition(2)
+    whole = rows(search.similar_vectors(df, df.withColumnRenamed("id", "q"), "id", "q", k=2))
+    monkeypatch.setattr(search, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(search, "CELLS", 35)
+    monkeypatch.setattr(search, "HELD_ROWS", most)
+    assert rows(search.similar_vectors(df, df.withColumnRenamed("id", "q"), "id", "q", k=2)) == whole and len(whole) == 120
+
+
 def test_embedder_of_the_caller(spark, rows):
     docs = spark.createDataFrame([(1, "ab"), (2, None)], "id INT, text STRING")
     got = search.embed(docs, lambda texts: [[float(len(t)), 1.0] for t in texts])
