@@ -23,7 +23,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["even_sample"])
+@pytest.mark.parametrize("name", ["even_sample", "severity", "line_delta", "read_span_whole", "sites_changed"])
 def test_lines_end_where_the_sql_ends_them(spark, odd, name):
     got = compare(spark, name, QUERIES[name], ORACLES[name], odd)
     assert got["ok"], got
