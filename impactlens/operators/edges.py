@@ -138,10 +138,16 @@ def tests_covering(test_edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def tests_by_source(test_edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Counts of distinct tests per symbol and source; the ids stay rows of ``tests_covering``."""
-    return tests_covering(test_edges, symbols).groupBy("graph_id", "symbol", "source").agg(
-        F.countDistinct("nodeid").alias("tests")
-    )
+    """(graph_id, symbol, by_source) of every symbol asked for: a map from each source to its distinct tests in order.
+
+    A symbol without tests has an empty map.
+    """
+    key = ["graph_id", "symbol"]
+    tests = F.sort_array(F.collect_set("nodeid")).alias("tests")
+    kept = tests_covering(test_edges, symbols).groupBy(*key, "source").agg(tests)
+    maps = kept.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "tests")))).alias("_m"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
+    return symbols.select(*key).distinct().join(maps, key, "left").select(*key, F.coalesce("_m", none).alias("by_source"))
 
 
 def select_tests(

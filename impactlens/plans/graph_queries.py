@@ -176,7 +176,8 @@ def importers(spark, d):
 @query(f"WITH {b.TEST_EDGE} SELECT symbol, source, count(DISTINCT nodeid) AS tests FROM test_edge GROUP BY 1, 2")
 def covering_by_source(spark, d):
     parts = b.table(spark, d, "part").select(b.graph(), b.tag("p", "p_partkey").alias("symbol"))
-    return ed.tests_by_source(b.test_edge(spark, d), parts).select("symbol", "source", "tests")
+    tests = ed.tests_by_source(b.test_edge(spark, d), parts).select("symbol", F.explode("by_source").alias("source", "nodeids"))
+    return tests.select("symbol", "source", F.size("nodeids").cast("long").alias("tests"))
 
 
 @query(f"""WITH {b.TEST_EDGE}, file AS (SELECT 'p' || p_partkey AS path FROM part),

@@ -265,6 +265,14 @@ def test_call_compat(spark):
     assert interface.call_compat(calls.filter("call_id = 5").withColumn("starred", F.lit(False)), kw, ["graph_id", "symbol"]).first().reason == "keyword-only 'c' is not given"
 
 
+def test_tests_of_a_symbol_are_kept_apart_by_source(spark):
+    met = [("g", "t1", "p", "t1::b", "coverage"), ("g", "t1", "p", "t1::a", "coverage"), ("g", "t2", "p", "t1::a", "coverage"), ("g", "t1", "p", "t1::a", "import"), ("g", "t1", "q", "t1::a", "import"), ("h", "t1", "p", "t1::z", "import")]
+    test_edges = spark.createDataFrame(met, "graph_id STRING, test_path STRING, symbol STRING, nodeid STRING, source STRING")
+    asked = spark.createDataFrame([("g", "p"), ("g", "p"), ("g", "none"), ("h", "q")], "graph_id STRING, symbol STRING")
+    got = {(r.graph_id, r.symbol): r.by_source for r in edges.tests_by_source(test_edges, asked).collect()}
+    assert got == {("g", "p"): {"coverage": ["t1::a", "t1::b"], "import": ["t1::a"]}, ("g", "none"): {}, ("h", "q"): {}}
+
+
 def test_changed_lines(spark, rows):
     before = "def f(x):\n    if x > 10:\n        return x\n    return 0"
     after = before.replace("return x", "return x + 1")
