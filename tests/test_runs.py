@@ -483,3 +483,48 @@ def test_retrieval_shuffles_texts_not_their_terms(spark, rows):
     assert plan.count("Exchange ") == 1
     top = rows(search.similar_docs(docs, spark.createDataFrame([(1, "plum"), (2, "zzz")], "q INT, text STRING"), "doc", "q", k=2), "q", "doc")
     assert top == [(1, 4), (1, 4)]
+
+
+def test_frequent_and_rare_terms_score_alike(monkeypatch):
+    # Terms in two of three rows and terms in few rows; every way of adding them up gives the plain products.
+    rng = np.random.default_rng(3)
+    held = [np.flatnonzero(np.r_[rng.random(30) < 0.7, rng.random(400) < 0.02]) for _ in range(90)]
+    rows = pd.DataFrame({"at": held, "w": [rng.random(len(a)) + 0.1 for a in held]})
+    rows.loc[4, "at"], rows.loc[4, "w"] = np.zeros(0, np.int64), np.zeros(0)
+    whole = np.zeros((90, 430))
+    for i, (a, w) in enumerate(zip(rows["at"], rows["w"], strict=True)):
+        whole[i, a] = w / np.sqrt(w @ w) if len(w) else w
+    for dense, columns, hits in ((2, 512, 50), (0, 7, 50), (1 / 10, 11, 1000)):
+        monkeypatch.setattr(search, "DENSE", dense)
+        monkeypatch.setattr(search, "COLUMNS", columns)
+        monkeypatch.setattr(search, "HITS", hits)
+        assert np.allclose(search.cosines(rows[:50], rows[50:]), whole[:50] @ whole[50:].T)
+
+
+def test_a_block_of_queries_is_read_once_for_a_batch(spark, monkeypatch):
+    class Vectors:
+        dtypes = [("id", "bigint")]
+
+        def mapInPandas(self, run, schema):
+            self.run = run
+            return self
+
+        def drop(self, *names):
+            return self
+
+    made = []
+
+    def ready(rows):
+        made.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(search, "first_rows", lambda df, *_: df)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(search, "CELLS", 50)
+    blocks = [pd.DataFrame({"q": np.arange(i, i + 10)}) for i in range(0, 100, 10)]
+    monkeypatch.setattr(search, "_blocks", lambda path: iter(blocks))
+    task = search._top_k(Vectors(), spark.range(1).selectExpr("id AS q"), "id", "q", 1, lambda a, b: -np.abs(a["id"].to_numpy()[:, None] - b["q"].to_numpy()[None, :]).astype(float), ready)
+    got = pd.concat(task.run(iter([pd.DataFrame({"id": np.arange(100)})])))
+    assert list(got["id"]) == list(got["q"]) == list(range(100))
+    # 20 parts of the batch; the ten blocks (and nine to see that they are too many) once, not once a part.
+    assert len(made) == 20 + 10 + 9
