@@ -528,3 +528,34 @@ def test_a_block_of_queries_is_read_once_for_a_batch(spark, monkeypatch):
     assert list(got["id"]) == list(got["q"]) == list(range(100))
     # 20 parts of the batch; the ten blocks (and nine to see that they are too many) once, not once a part.
     assert len(made) == 20 + 10 + 9
+
+
+def test_equal_texts_are_scored_once_and_all_answer(spark, rows, monkeypatch):
+    import math
+    from collections import Counter
+
+    texts = ["apple pear", "pear apple", "plum fig fig", "apple pear", "fig plum fig", "apple plum", "pear fig kiwi", "kiwi apple", "apple pear", ""]
+    docs = [(i * 5 % 31, texts[i % 10]) for i in range(30)] + [(35, "apple pear"), (35, ""), (36, "apple fig")]
+    asked = [(100 + i, docs[i][1], docs[i][0]) for i in range(0, 30, 2)] + [(200, "kiwi", None), (201, "apple pear", 35)]
+    by_key = {}
+    for i, t in docs:
+        by_key.setdefault(i, []).extend(t.split())
+    n, df = len(docs), Counter(w for ws in by_key.values() for w in set(ws))
+    idf = {w: math.log(n / (1 + c)) + 1 for w, c in df.items() if 1 < c < max(2, 0.8 * n)}
+
+    def unit(words):
+        v = {w: c * idf[w] for w, c in Counter(words).items() if w in idf}
+        return {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    want = []
+    for q, text, own in asked:
+        qv = unit(text.split())
+        scored = sorted((-round(sum(x * qv.get(w, 0) for w, x in unit(by_key[i]).items()), 6), i) for i, _ in docs if i != own)
+        want += [(q, i, -s) for s, i in scored[:3]] if qv else []
+    df_docs, df_asked = spark.createDataFrame(docs, "doc INT, text STRING"), spark.createDataFrame(asked, "q INT, text STRING, own INT")
+    tables, top_k = [], search._top_k
+    monkeypatch.setattr(search, "_top_k", lambda vectors, queries, *rest: tables.append((vectors.count(), queries.count())) or top_k(vectors, queries, *rest))
+    got = rows(search.similar_docs(df_docs, df_asked, "doc", "q", k=3, exclude="own"), "q", "doc", "score")
+    assert [(q, i, round(s, 6) + 0.0) for q, i, s in sorted(got)] == sorted((q, i, s + 0.0) for q, i, s in want)
+    bags = {tuple(sorted(words)) for words in by_key.values()}
+    assert tables == [(len(bags), len({tuple(sorted(t.split())) for _, t, _ in asked if unit(t.split())}))] and len(bags) == 7
